@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
@@ -20,22 +20,26 @@ def _last_value(lines: Column, name: str, pick) -> Column:
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
 
 
-def parse_lines(raw: str) -> Column:
-    """struct(label, reason) from ``Label: …`` / ``Reason: …`` lines.
+def with_line_answer(df: DataFrame, raw: str) -> DataFrame:
+    """Add label and reason from ``Label: …`` / ``Reason: …`` lines.
 
     The last line with a valid label wins, invalid and empty ones are passed
     over; the last reason line wins even if empty.
     """
     text = F.coalesce(F.col(raw), F.lit(""))
-    lines = F.transform(F.split(strip(text), "\n"), strip)
+    lines = F.col("_lines")
 
     def first_word(value: Column) -> Column:
         word = F.lower(F.regexp_extract(value, f"^[^{SPACE}]+", 0))
         return F.when(word.isin(fixed.LABELS), word)
 
-    return F.struct(
-        F.coalesce(_last_value(lines, "label", first_word), F.lit(fixed.DEFAULT_LABEL)).alias("label"),
-        F.coalesce(_last_value(lines, "reason", lambda v: v), F.lit("")).alias("reason"),
+    return (
+        df.withColumn("_lines", F.transform(F.split(strip(text), "\n"), strip))
+        .withColumns({
+            "label": F.coalesce(_last_value(lines, "label", first_word), F.lit(fixed.DEFAULT_LABEL)),
+            "reason": F.coalesce(_last_value(lines, "reason", lambda v: v), F.lit("")),
+        })
+        .drop("_lines")
     )
 
 
@@ -49,45 +53,41 @@ def _occurrences(text: Column, ch: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def _close_braces(text: Column) -> Column:
+def repair_braces(text: Column) -> Column:
     lack = F.greatest(_occurrences(text, "{") - _occurrences(text, "}"), F.lit(0))
     return F.concat(text, F.repeat(F.lit("}"), lack))
 
 
-def _close_quote(text: Column) -> Column:
+def repair_quote(text: Column) -> Column:
     return F.when(_occurrences(text, '"') % 2 == 1, F.concat(text, F.lit('"'))).otherwise(text)
 
 
-def repair(text: Column, quote_first: bool = False) -> Column:
-    """Append what a cut-off object lacks.
-
-    The usual order adds braces before the quote, which lets a cut-off reason
-    end in ``}``; ``quote_first`` closes the open text first.
-    """
-    if quote_first:
-        return _close_braces(_close_quote(text))
-    closed = _close_quote(_close_braces(text))
+def repair_end(text: Column) -> Column:
+    """A closing brace for balanced text with a quote that does not end in one."""
     short = (
-        F.contains(closed, F.lit('"'))
-        & ~F.endswith(strip(closed), F.lit("}"))
-        & (_occurrences(closed, "{") == _occurrences(closed, "}"))
+        F.contains(text, F.lit('"'))
+        & ~F.endswith(strip(text), F.lit("}"))
+        & (_occurrences(text, "{") == _occurrences(text, "}"))
     )
-    return F.when(short, F.concat(closed, F.lit("}"))).otherwise(closed)
+    return F.when(short, F.concat(text, F.lit("}"))).otherwise(text)
 
 
-def _strict_object(text: Column) -> Column:
-    """struct(label, reason) if ``text`` is exactly one valid JSON object with a
-    known label and a text reason, else null.
+def _read_objects(text: Column) -> Column:
+    """The text read inside ``[…]`` and inside ``{"v":…}``.
 
-    The JSON reader stops after the first value, so trailing junk is caught by
-    reading the text inside ``[…]`` and inside ``{"v":…}``: nothing can close
-    both. Fields come as variants, so a number is not taken for a text.
+    The JSON reader stops after the first value; trailing junk cannot close
+    both brackets, so only exactly one object passes both. Fields come as
+    variants, so a number is not taken for a text.
     """
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_FIELDS}>", _STRICT)
     nested = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"struct<v:{_FIELDS}>", _STRICT)
-    one = nested["v"]
+    return F.struct(listed.alias("listed"), nested["v"].alias("one"))
+
+
+def _checked(objects: str) -> Column:
+    """struct(label, reason) if the label is known and the reason a text, else null."""
+    listed, one = F.col(f"{objects}.listed"), F.col(f"{objects}.one")
     label = F.try_variant_get(one["label"], "$", "string")
-    reason = F.try_variant_get(one["reason"], "$", "string")
     good = (
         (F.size(listed) == 1)
         & (F.schema_of_variant(one["label"]) == "STRING")
@@ -95,24 +95,40 @@ def _strict_object(text: Column) -> Column:
         & (F.schema_of_variant(F.get(listed, F.lit(0))["reason"]) == "STRING")
         & label.isin(fixed.LABELS)
     )
+    reason = F.try_variant_get(one["reason"], "$", "string")
     return F.when(good, F.struct(label.alias("label"), reason.alias("reason")))
 
 
-def parse_json(raw: str, quote_first: bool = False) -> Column:
-    """struct(label, reason): valid JSON, repaired JSON, then text search."""
-    text = strip(F.coalesce(F.col(raw), F.lit("")))
-    block = json_block(text)
-    found_label = F.lower(F.regexp_extract(block, r'"label"\s*:\s*"([^"]+)"', 1))
+def _searched(block: Column) -> Column:
+    """struct(label, reason) by text search, for what is no valid object."""
     reason_at = r'"reason"\s*:\s*"([^"]*)'
-    found_reason = F.rtrim(strip(F.regexp_extract(block, reason_at, 1)), F.lit(" ,;:"))
-    searched = F.struct(
-        valid_label(found_label).alias("label"),
+    found = F.rtrim(strip(F.regexp_extract(block, reason_at, 1)), F.lit(" ,;:"))
+    return F.struct(
+        valid_label(F.lower(F.regexp_extract(block, r'"label"\s*:\s*"([^"]+)"', 1))).alias("label"),
         F.when(~block.rlike(reason_at), fixed.UNPARSED_REASON)
-        .when(found_reason == "", fixed.TRUNCATED_REASON)
-        .otherwise(found_reason)
+        .when(found == "", fixed.TRUNCATED_REASON)
+        .otherwise(found)
         .alias("reason"),
     )
+
+
+def with_json_answer(df: DataFrame, raw: str, quote_first: bool = False) -> DataFrame:
+    """Add label and reason: valid JSON, repaired JSON, then text search.
+
+    One column per step, each step only for rows the one before left open.
+    """
     blank = F.struct(F.lit(fixed.DEFAULT_LABEL).alias("label"), F.lit(fixed.EMPTY_REASON).alias("reason"))
-    return F.when(text == "", blank).otherwise(
-        F.coalesce(_strict_object(block), _strict_object(repair(block, quote_first)), searched)
+    block, answer, fixed_up = F.col("_block"), F.col("_answer"), F.col("_repaired")
+    return (
+        df.withColumn("_text", strip(F.coalesce(F.col(raw), F.lit(""))))
+        .withColumn("_block", json_block(F.col("_text")))
+        .withColumn("_objects", _read_objects(block))
+        .withColumn("_answer", F.when(F.col("_text") == "", blank).otherwise(_checked("_objects")))
+        .withColumn("_repaired", F.when(answer.isNull(), repair_quote(repair_braces(block)) if not quote_first
+                                        else repair_braces(repair_quote(block))))
+        .withColumn("_repaired", fixed_up if quote_first else repair_end(fixed_up))
+        .withColumn("_objects", _read_objects(fixed_up))
+        .withColumn("_answer", F.coalesce(answer, _checked("_objects"), _searched(block)))
+        .withColumns({"label": F.col("_answer.label"), "reason": F.col("_answer.reason")})
+        .drop("_text", "_block", "_objects", "_answer", "_repaired")
     )

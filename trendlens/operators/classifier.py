@@ -54,21 +54,24 @@ def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weigh
 
 def fit_classifier(
     df: DataFrame, label: str = "label", features: str = "features", weight: str | None = None,
-    c: float = 1.0, max_iter: int = 200,
+    c: float = 1.0, max_iter: int = 100, tol: float = 1e-5, rows_per_task: int = 2000,
 ) -> PipelineModel:
     """Multinomial logistic regression with an L2 penalty of strength ``1/c``.
 
     Input features in, ``predicted_label`` text out; the label names travel
-    with the model. The intercept is not penalised.
+    with the model. The intercept is not penalised. Every task adds up a whole
+    gradient, so tasks get at least ``rows_per_task`` rows.
     """
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
-    total = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.col(weight) if weight else F.lit(1))).first()
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task))
+    used = [features, "_y", *([weight] if weight else [])]
     regression = LogisticRegression(
         featuresCol=features, labelCol="_y", predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw",
         family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1.0 / (c * total),
-        maxIter=max_iter, tol=1e-8, **({"weightCol": weight} if weight else {}),
+        maxIter=max_iter, tol=tol, **({"weightCol": weight} if weight else {}),
     )
-    fitted = regression.fit(indexer.transform(df))
+    fitted = regression.fit(indexer.transform(df).select(*used).repartition(max(tasks, 1)))
     names = IndexToString(inputCol="_p", outputCol="predicted_label", labels=indexer.labels)
     tidy = SQLTransformer(statement="SELECT * EXCEPT (_p, _prob, _raw) FROM __THIS__")
     return PipelineModel(stages=[fitted, names, tidy])

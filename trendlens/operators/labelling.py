@@ -37,13 +37,14 @@ def rule_answer(cols: list[str]) -> Column:
     return F.concat(F.lit('{"label":"'), label, F.lit('","reason":"keyword rule"}'))
 
 
-def with_labels(df: DataFrame, parse: Callable[[str], Column] = answers.parse_json, raw: str = "raw_resp") -> DataFrame:
+def with_labels(
+    df: DataFrame, parse: Callable[[DataFrame, str], DataFrame] = answers.with_json_answer, raw: str = "raw_resp"
+) -> DataFrame:
     """Add label and reason. A null answer is a failed one: the row stays, marked so."""
-    failed = F.struct(F.lit(fixed.DEFAULT_LABEL).alias("label"), F.lit(fixed.FAILED_REASON).alias("reason"))
-    parsed = F.when(F.col(raw).isNull(), failed).otherwise(parse(raw))
-    return (
-        df.withColumn("_answer", parsed)
-        .withColumns({"label": F.col("_answer.label"), "reason": F.col("_answer.reason"),
-                      raw: F.coalesce(F.col(raw), F.lit(""))})
-        .drop("_answer")
-    )
+    failed = F.col("_failed")
+    parsed = parse(df.withColumn("_failed", F.col(raw).isNull()), raw)
+    return parsed.withColumns({
+        "label": F.when(failed, fixed.DEFAULT_LABEL).otherwise(F.col("label")),
+        "reason": F.when(failed, fixed.FAILED_REASON).otherwise(F.col("reason")),
+        raw: F.coalesce(F.col(raw), F.lit("")),
+    }).drop("_failed")

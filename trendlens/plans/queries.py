@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,13 +302,11 @@ def prompts_built(spark, sf):
 
 
 def parsed_json(spark, sf):
-    parsed = views.json_answers(spark, sf).withColumn("p", answers.parse_json("raw_resp"))
-    return parsed.select("doc_id", "p.label", "p.reason")
+    return answers.with_json_answer(views.json_answers(spark, sf), "raw_resp").select("doc_id", "label", "reason")
 
 
 def parsed_lines(spark, sf):
-    parsed = views.line_answers(spark, sf).withColumn("p", answers.parse_lines("raw_resp"))
-    return parsed.select("doc_id", "p.label", "p.reason")
+    return answers.with_line_answer(views.line_answers(spark, sf), "raw_resp").select("doc_id", "label", "reason")
 
 
 def failed_answers(spark, sf):
@@ -361,7 +361,9 @@ def tfidf_terms(spark, sf):
     return _rounded(features.tfidf(_train_text(spark, sf), "doc_id", "text", (1, 1)), "weight")
 
 
+@lru_cache(maxsize=4)
 def _text_model(spark, sf, split_first=False):
+    """Trained once per session and folder; the queries below look at it from several sides."""
     return training.train_text_classifier(_train_text(spark, sf).select("doc_id", "label", "text"), ["doc_id"],
                                           split_first=split_first)
 

@@ -10,6 +10,7 @@ from trendlens.functions.text import joined_text, normalise_label, record_key
 from trendlens.operators.classifier import fit_classifier, fit_text_features, score, with_class_weights
 from trendlens.operators.dedupe import keep_first
 from trendlens.operators.sampling import resample_class, stratified_split
+from trendlens.session import settle
 
 
 def training_rows(labelled: DataFrame, order: list[str]) -> DataFrame:
@@ -21,9 +22,14 @@ def training_rows(labelled: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A training set is few bytes but many n-grams: use all cores, and read it once."""
+    return settle(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def train_text_classifier(
     rows: DataFrame, key: list[str], rare: str = "olympic", target: int = 400, split_first: bool = False,
-    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 200,
+    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 100,
 ) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     """Fitted features, fitted classifier, and the scored validation rows.
 
@@ -33,11 +39,11 @@ def train_text_classifier(
     """
     if split_first:
         parts = stratified_split(rows, "label", key, test_fraction, seed)
-        train = resample_class(parts.filter(~F.col("is_test")), "label", rare, key, target, seed)
+        train = _spread(resample_class(parts.filter(~F.col("is_test")), "label", rare, key, target, seed))
         features = fit_text_features(train)
         valid = parts.filter("is_test")
     else:
-        grown = resample_class(rows, "label", rare, key, target, seed)
+        grown = _spread(resample_class(rows, "label", rare, key, target, seed))
         features = fit_text_features(grown)
         parts = stratified_split(grown, "label", [*key, "draw"], test_fraction, seed)
         train, valid = parts.filter(~F.col("is_test")), parts.filter("is_test")
