@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
-from trendlens.functions.text import SPACE, strip
+from trendlens.functions.text import SPACE_CHARS, strip
 from trendlens.functions.values import valid_label
 
 _STRICT = {"allowSingleQuotes": "false"}
@@ -15,7 +15,7 @@ _FIELDS = "struct<label:variant,reason:variant>"
 
 def _last_value(lines: Column, name: str, pick) -> Column:
     """``pick`` applied to what follows ``name:`` in each line that starts so; the last non-null."""
-    found = F.filter(lines, lambda l: F.startswith(F.lower(l), F.lit(name + ":")))
+    found = F.filter(lines, lambda l: F.lower(F.substring(l, 1, len(name) + 1)) == name + ":")
     values = F.transform(found, lambda l: pick(strip(F.substring(l, len(name) + 2, 2**31 - 1))))
     return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
 
@@ -30,7 +30,7 @@ def with_line_answer(df: DataFrame, raw: str) -> DataFrame:
     lines = F.col("_lines")
 
     def first_word(value: Column) -> Column:
-        word = F.lower(F.regexp_extract(value, f"^[^{SPACE}]+", 0))
+        word = F.lower(F.split_part(F.translate(value, SPACE_CHARS, " " * len(SPACE_CHARS)), F.lit(" "), F.lit(1)))
         return F.when(word.isin(fixed.LABELS), word)
 
     return (

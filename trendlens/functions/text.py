@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every character a full Unicode strip removes; Java's plain \s knows only ASCII.
-SPACE = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = "".join(
+    chr(c)
+    for part in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                 (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+    for c in range(part[0], part[1] + 1)
+)
 
 # Words of at least two characters. Java's \w is ASCII-only, so spell it out.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -26,7 +31,7 @@ def joined_text(cols: list[str], sep: str = " ") -> Column:
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def normalise_label(c: str) -> Column:

@@ -9,6 +9,7 @@ from trendlens.functions.text import has_keyword, joined_text
 from trendlens.operators.lookups import exclude_signed
 from trendlens.operators.ranking import take_first
 from trendlens.operators.sampling import sample_per_country, sample_rows
+from trendlens.session import settle
 
 TEXT_COLUMNS = ["title", "tags", "description", "channelTitle", "category_id", "country_code"]
 GAMES_COLUMNS = ["title", "tags", "description", "channel_title"]
@@ -37,6 +38,8 @@ def capped_candidates(
     found = keyword_candidates(records, terms, columns)
     if "country_code" not in records.columns:
         return found.orderBy(*order).limit(overall)
+    # matching is the costly part; the passes below read its result
+    found = settle(found)
     return sample_rows(take_first(found, ["country_code"], order, per_country), key, overall, seed)
 
 
@@ -49,7 +52,10 @@ def labelling_samples(
     seed: int = 0,
     fields: tuple[str, ...] = ("title", "channelTitle", "publish_time"),
 ) -> tuple[DataFrame, DataFrame]:
-    """Positives from the candidates, negatives from records that are no candidate."""
+    """Positives from the candidates, negatives from records that are no candidate.
+
+    Pass candidates that are a table, or settled: they are read three times.
+    """
     positives = sample_per_country(candidates, key, pos_per_country, seed)
     negatives = sample_per_country(exclude_signed(records, candidates, fields), key, neg_per_country, seed)
     return positives, negatives

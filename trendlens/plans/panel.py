@@ -17,9 +17,14 @@ from trendlens.sources.records import union_all
 DAY_COLUMN = {"published": "publishedAt", "trending": "trending_date"}
 
 
-def trimmed_published(first: DataFrame, days: int = 14) -> DataFrame:
-    """Days strictly later than the overall first day plus ``days``."""
-    earliest = first.agg(F.min("date_clean")).scalar()
+def trimmed_published(first: DataFrame, dated: DataFrame, days: int = 14) -> DataFrame:
+    """Days strictly later than the overall first day plus ``days``.
+
+    The first day of all first appearances is the first day of all rows, so it
+    comes from a scan of ``dated`` and does not wait for the deduplication.
+    """
+    keyed = dated.dropna(subset=["video_id", "country_code"])
+    earliest = keyed.agg(F.min("date_clean")).scalar()
     return first.filter(F.col("date_clean") > F.date_add(earliest, days))
 
 
@@ -50,7 +55,7 @@ def create_panel(
     narrow = dated.select(*dict.fromkeys(["video_id", "country_code", "date_clean", label, *order]))
     first = first_appearance(narrow, order).select("video_id", "country_code", "date_clean", label)
     if date_type == "published":
-        return country_day_panel(trimmed_published(first), label)
+        return country_day_panel(trimmed_published(first, dated), label)
     return country_day_panel(trimmed_trending(first, by=trim_by), label)
 
 
@@ -74,7 +79,12 @@ def with_events(panel: DataFrame, events: dict[str, DataFrame]) -> DataFrame:
 def full_panel(
     panel: DataFrame, events: dict[str, DataFrame], codes: dict[str, str] = fixed.COMMITTEE_CODES
 ) -> DataFrame:
-    """Panel with calendar, committee code, event windows and daily medals."""
+    """Panel with calendar, committee code, event windows and daily medals.
+
+    The panel and the medals are small and used several times over, so both
+    are settled first.
+    """
+    panel, events = settle(panel), {name: settle(rows) for name, rows in events.items()}
     coded = with_calendar(panel).withColumn("country_code_iso3", mapped("country_code", codes))
     daily = daily_medals(union_all(list(events.values())))
     return with_medals(with_events(coded, events), daily)

@@ -14,7 +14,7 @@ from trendlens.operators import classifier, countreg, dedupe, evaluation, featur
 from trendlens.operators import metrics, ranking, rollup, sampling, windows
 from trendlens.operators.events import event_bars, event_line, span
 from trendlens.plans import candidates, models, panel, training
-from trendlens.session import scratch_dir
+from trendlens.session import scratch_dir, settle
 from trendlens.sources import records, views
 from trendlens.sources.views import CORPUS_TERMS, ORDER, REGION_CODES
 from trendlens.streaming import incremental
@@ -155,7 +155,7 @@ def label_flags(spark, sf):
 
 def country_codes(spark, sf):
     """Mapped, replaced and defaulted country codes of every customer."""
-    places = views._places(spark, sf)
+    places = views.places(spark, sf)
     return places.select(
         "c_custkey",
         mapped("r_name", {k: v for k, v in REGION_CODES.items() if k != "ASIA"}).alias("mapped"),
@@ -232,12 +232,12 @@ def negatives_anti(spark, sf):
 
 
 def sampled_pos(spark, sf):
-    rows = _candidates(spark, sf)
+    rows = settle(_candidates(spark, sf))
     return sampling.sample_per_country(rows, ["doc_id"], 50).select("doc_id", "country_code")
 
 
 def sampled_neg(spark, sf):
-    rest = lookups.exclude_signed(views.corpus(spark, sf), _candidates(spark, sf))
+    rest = lookups.exclude_signed(views.corpus(spark, sf), settle(_candidates(spark, sf)))
     return sampling.sample_per_country(rest, ["doc_id"], 50).select("doc_id", "country_code")
 
 

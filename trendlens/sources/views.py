@@ -17,18 +17,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _places(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer to country. Sizes decide the join strategies, so nothing is hinted."""
-    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", "r_name", "n_name"
+def _placed(rows: DataFrame, spark: SparkSession, sf: str, custkey: str) -> DataFrame:
+    """Customer, nation and region, each joined to the big side; sizes decide the strategies."""
+    return (
+        rows.join(table(spark, sf, "customer"), F.col(custkey) == F.col("c_custkey"))
+        .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+
+
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer to country."""
+    nation = table(spark, sf, "nation")
+    return (
+        table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", "r_name", "n_name")
     )
 
 
 def videos(spark: SparkSession, sf: str, country: str = "r_name") -> DataFrame:
     """Labelled trending records: one per line item."""
-    placed = table(spark, sf, "orders").join(_places(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
-    rows = table(spark, sf, "lineitem").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _placed(rows, spark, sf, "o_custkey")
     label = F.when(F.col("l_returnflag") == "R", "olympic").when(F.col("l_returnflag") == "A", "other_sport")
     return rows.select(
         F.col("l_partkey").alias("video_id"), F.col(country).alias("country_code"),
@@ -47,7 +58,7 @@ def medals(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             (F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz"))
             & (F.col("o_orderdate") < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz"))
         )
-        out[event] = held.join(_places(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select(
+        out[event] = _placed(held, spark, sf, "o_custkey").select(
             F.col("o_orderdate").cast("date").alias("date_clean"), code.alias("country_code"),
             F.substring("o_orderpriority", 1, 1).cast("int").alias("medal_code"),
         )
