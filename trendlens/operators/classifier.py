@@ -31,8 +31,9 @@ def fit_text_features(
     df: DataFrame, text: str = "text", max_features: int = MAX_FEATURES, min_df: int = 1, max_df: float = MAX_DF
 ) -> PipelineModel:
     """Word 1–3-gram tf-idf with smoothed idf (``ln((1+n)/(1+df)) + 1``) and unit rows."""
+    share = {"maxDF": max_df} if max_df < 1 else {}  # from 1 on the parameter would be a document count
     counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), maxDF=max_df
+        inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), **share
     )
     counts = Pipeline(stages=[*_terms_stages(text), counter]).fit(df)
     idf = IDF(inputCol="_tf", outputCol="_unused").fit(counts.transform(df)).idf.toArray()

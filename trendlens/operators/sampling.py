@@ -40,7 +40,6 @@ def resample_class(
     is_class = F.coalesce(F.col(label) == value, F.lit(False))
     rest = df.filter(~is_class)
     numbered = rank_by_hash(df.filter(is_class), [], key, seed, upto=target, rank="_pos")
-    # min() is null on no rows, which makes an absent class an error instead of an empty result
     size = F.coalesce(
         F.nullif(numbered.agg(F.count(F.lit(1))).scalar(), F.lit(0).cast("long")),
         F.raise_error(F.lit(f"no {value} rows to resample")).cast("long"),
@@ -53,6 +52,8 @@ def resample_class(
         .filter(F.col("draw") <= F.lit(target) - F.col("_size"))
         .select("draw", (pick.cast("long") % F.col("_size") + 1).alias("_pos"))
     )
+    # checked on the rows that pass through: with no class rows nothing else would be evaluated
+    rest = rest.filter(size > 0)
     # both sides hold at most `target` rows
     drawn = numbered.join(F.broadcast(draws), "_pos")
     columns = [*df.columns, "draw"]
