@@ -6,20 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, key: list[str], order: list[str], drop_null_keys: bool = False) -> DataFrame:
-    """The row that comes first in ``order`` for each key.
+def keep_first(
+    df: DataFrame, key: list[str], order: list[str], drop_null_keys: bool = False, keep: list[str] | None = None
+) -> DataFrame:
+    """The row that comes first in ``order`` for each key, all columns or those in ``keep``.
 
     Copies of one key are folded in the map tasks, so a key that holds a third
     of the rows sends one row per task.
     """
     rows = df.dropna(subset=key) if drop_null_keys else df
-    rest = [c for c in df.columns if c not in key]
+    columns = keep or df.columns
+    rest = [c for c in columns if c not in key]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return rows.groupBy(*key).agg(first).select(*key, "_row.*").select(df.columns)
+    return rows.groupBy(*key).agg(first).select(*key, "_row.*").select(columns)
 
 
 def first_appearance(
-    df: DataFrame, order: list[str], day: str = "date_clean", key: tuple[str, str] = ("video_id", "country_code")
+    df: DataFrame,
+    order: list[str],
+    day: str = "date_clean",
+    key: tuple[str, str] = ("video_id", "country_code"),
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Earliest day per (video, country); equal days are decided by ``order``."""
-    return keep_first(df.filter(F.col(day).isNotNull()), list(key), [day, *order], drop_null_keys=True)
+    return keep_first(df.filter(F.col(day).isNotNull()), list(key), [day, *order], True, keep)

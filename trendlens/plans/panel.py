@@ -17,15 +17,13 @@ from trendlens.sources.records import union_all
 DAY_COLUMN = {"published": "publishedAt", "trending": "trending_date"}
 
 
-def trimmed_published(first: DataFrame, dated: DataFrame, days: int = 14) -> DataFrame:
+def trimmed_published(panel: DataFrame, days: int = 14) -> DataFrame:
     """Days strictly later than the overall first day plus ``days``.
 
-    The first day of all first appearances is the first day of all rows, so it
-    comes from a scan of ``dated`` and does not wait for the deduplication.
+    The trim looks at days only, so it is made on the panel, after the rollup.
     """
-    keyed = dated.dropna(subset=["video_id", "country_code"])
-    earliest = keyed.agg(F.min("date_clean")).scalar()
-    return first.filter(F.col("date_clean") > F.date_add(earliest, days))
+    earliest = panel.agg(F.min("date_clean")).scalar()
+    return panel.filter(F.col("date_clean") > F.date_add(earliest, days))
 
 
 def trimmed_trending(first: DataFrame, n: int = 10, by: str = "rows") -> DataFrame:
@@ -53,9 +51,9 @@ def create_panel(
     if duplicates:
         return country_day_panel(dated, label)
     narrow = dated.select(*dict.fromkeys(["video_id", "country_code", "date_clean", label, *order]))
-    first = first_appearance(narrow, order).select("video_id", "country_code", "date_clean", label)
+    first = first_appearance(narrow, order, keep=["video_id", "country_code", "date_clean", label])
     if date_type == "published":
-        return country_day_panel(trimmed_published(first, dated), label)
+        return trimmed_published(settle(country_day_panel(first, label)))
     return country_day_panel(trimmed_trending(first, by=trim_by), label)
 
 

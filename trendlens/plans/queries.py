@@ -14,7 +14,7 @@ from trendlens.operators import classifier, countreg, dedupe, evaluation, featur
 from trendlens.operators import metrics, ranking, rollup, sampling, windows
 from trendlens.operators.events import event_bars, event_line, span
 from trendlens.plans import candidates, models, panel, training
-from trendlens.session import scratch_dir, settle
+from trendlens.session import scratch_dir, settle, spread
 from trendlens.sources import records, views
 from trendlens.sources.views import CORPUS_TERMS, ORDER, REGION_CODES
 from trendlens.streaming import incremental
@@ -347,7 +347,7 @@ def _train_text(spark, sf):
 
 
 def token_counts(spark, sf):
-    counts = features.term_counts(views.table(spark, sf, "documents"), "doc_id", "text", (1, 1))
+    counts = features.term_counts(spread(views.table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text", (1, 1))
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("distinct_tokens"))
 
 

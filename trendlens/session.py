@@ -57,6 +57,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, max_splits: int = 64) -> DataFrame:
+    """Give a table that is stored in very few splits to all cores.
+
+    For CPU-heavy work on small files. A table of more than ``max_splits``
+    splits (8 GB at the default split size), or of more than half the number of cores, is
+    read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() <= min(max_splits, cores // 2):
+        return df.repartition(cores)
+    return df
+
+
 def attach_small(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = 20_000
 ) -> DataFrame:

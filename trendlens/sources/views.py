@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.session import spread
+
 # A row of the videos view is identified by all of these together.
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
@@ -13,8 +15,8 @@ EVENT_DAYS = {"summer": ("1996-07-20", "1996-08-04"), "winter": ("1998-02-07", "
 CORPUS_TERMS = ["ción", "ñ", "lich", "çou", "ère", "license"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet").select(*(columns or "*"))
 
 
 def _placed(rows: DataFrame, spark: SparkSession, sf: str, custkey: str) -> DataFrame:
@@ -38,7 +40,8 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
 
 def videos(spark: SparkSession, sf: str, country: str = "r_name") -> DataFrame:
     """Labelled trending records: one per line item."""
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = spread(table(spark, sf, "lineitem", *ORDER, "l_returnflag"))
+    rows = items.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = _placed(rows, spark, sf, "o_custkey")
     label = F.when(F.col("l_returnflag") == "R", "olympic").when(F.col("l_returnflag") == "A", "other_sport")
     return rows.select(
@@ -67,7 +70,7 @@ def medals(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as unlabelled records."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents", "doc_id", "text", "lang", "source")).select(
         "doc_id",
         F.col("doc_id").cast("string").alias("video_id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
@@ -90,7 +93,8 @@ def _said(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(F.lit("olympic"), F.lit("other_sport"), F.lit("non_sport")),
                          (F.col("doc_id") % 3 + 1).cast("int"))
     reason = F.regexp_replace("text", r"[^\p{L}\p{N} ]", " ")
-    return table(spark, sf, "documents").select("doc_id", label.alias("l"), reason.alias("r"))
+    documents = spread(table(spark, sf, "documents", "doc_id", "text"))
+    return documents.select("doc_id", label.alias("l"), reason.alias("r"))
 
 
 def _shaped(said: DataFrame, shapes: list[str]) -> DataFrame:
