@@ -23,10 +23,10 @@ def test_trim_is_strictly_later(spark):
 def test_trim_trending_by_rows_and_days(spark):
     days = [D(2020, 8, 1) + dt.timedelta(n) for n in range(12)]
     df = frame(spark, days, video_id=[f"v{n:02d}" for n in range(12)], country_code=["X"] * 12)
-    assert sorted(r["video_id"] for r in plans.trimmed_trending(df).collect()) == ["v10", "v11"]
-    assert sorted(r["video_id"] for r in plans.trimmed_trending(df, by="days").collect()) == ["v10", "v11"]
+    assert sorted(r["video_id"] for r in plans.trimmed_first_rows(df).collect()) == ["v10", "v11"]
+    assert sorted(r["video_id"] for r in plans.trimmed_first_days(df).collect()) == ["v10", "v11"]
     with pytest.raises(ValueError):
-        plans.trimmed_trending(df, by="weeks")
+        plans.create_panel(df, ["video_id"], date_type="trending", trim_by="weeks")
 
 
 def test_panel_from_text_times(spark):

@@ -15,6 +15,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(name, spark, sf, duck):
     df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     result = duck.execute(SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions.text import TOKEN
 from trendlens.operators.features import MAX_DF, MAX_FEATURES
+from trendlens.session import attach_small
 
 
 def _terms_stages(text: str) -> list:
@@ -50,7 +51,7 @@ def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weigh
     weights = sizes.select(
         label, (F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n"))).alias(weight)
     )
-    return df.join(weights, label)
+    return attach_small(df, weights, [label], "inner")
 
 
 def fit_classifier(

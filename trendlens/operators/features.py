@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions.text import ngrams, tokens
@@ -45,5 +46,5 @@ def tfidf(
     idf = vocab.select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("_idf"))
     # at most max_features rows, so the frequent terms are not shuffled to one task
     raw = counts.join(F.broadcast(idf), "term").withColumn("_raw", F.col("tf") * F.col("_idf"))
-    norms = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, doc).select(doc, "term", "tf", (F.col("_raw") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(doc)))
+    return raw.select(doc, "term", "tf", (F.col("_raw") / norm).alias("weight"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
@@ -31,8 +30,9 @@ def with_shares(panel: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Non-null values with their count and their share of the non-null rows."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    known = df.filter(F.col(col).isNotNull())
+    counts = known.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / known.agg(F.count(F.lit(1))).scalar())
 
 
 def record_counts(df: DataFrame, key: str = "video_id", country: str = "country_code") -> DataFrame:

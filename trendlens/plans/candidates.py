@@ -9,7 +9,7 @@ from trendlens.functions.text import has_keyword, joined_text
 from trendlens.operators.lookups import exclude_signed
 from trendlens.operators.ranking import take_first
 from trendlens.operators.sampling import sample_per_country, sample_rows
-from trendlens.session import settle
+from trendlens.session import attach_small, settle
 
 TEXT_COLUMNS = ["title", "tags", "description", "channelTitle", "category_id", "country_code"]
 GAMES_COLUMNS = ["title", "tags", "description", "channel_title"]
@@ -57,8 +57,10 @@ def labelling_samples(
     Pass candidates that are a table, or settled: they are read three times.
     """
     positives = sample_per_country(candidates, key, pos_per_country, seed)
-    negatives = sample_per_country(exclude_signed(records, candidates, fields), key, neg_per_country, seed)
-    return positives, negatives
+    # the exclusion shuffles keys only; the few records drawn are fetched afterwards
+    narrow = exclude_signed(records, candidates, fields).select(*key, "country_code")
+    drawn = sample_per_country(settle(narrow), key, neg_per_country, seed).select(*key)
+    return positives, attach_small(records, drawn, key, "inner").select(records.columns)
 
 
 def preview(df: DataFrame, order: list[str], n: int) -> DataFrame:

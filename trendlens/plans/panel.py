@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
@@ -26,15 +27,16 @@ def trimmed_published(panel: DataFrame, days: int = 14) -> DataFrame:
     return panel.filter(F.col("date_clean") > F.date_add(earliest, days))
 
 
-def trimmed_trending(first: DataFrame, n: int = 10, by: str = "rows") -> DataFrame:
-    """Drop the first ``n`` rows (``by="rows"``) or days (``by="days"``) of each country."""
-    if by == "rows":
-        return drop_first(settle(first), ["country_code"], ["video_id"], n)
-    if by != "days":
-        raise ValueError(by)
-    starts = first.groupBy("country_code").agg(F.min("date_clean").alias("_start"))
-    kept = first.join(starts, "country_code").filter(F.col("date_clean") >= F.date_add("_start", n))
-    return kept.select(first.columns)
+def trimmed_first_days(panel: DataFrame, n: int = 10) -> DataFrame:
+    """Each country without its first ``n`` calendar days."""
+    start = F.min("date_clean").over(W.partitionBy("country_code"))
+    dated = panel.withColumn("_start", start)
+    return dated.filter(F.col("date_clean") >= F.date_add("_start", n)).drop("_start")
+
+
+def trimmed_first_rows(first: DataFrame, n: int = 10) -> DataFrame:
+    """Each country without its first ``n`` videos by id. ``first`` is read twice, so settle it."""
+    return drop_first(first, ["country_code"], ["video_id"], n)
 
 
 def create_panel(
@@ -46,7 +48,10 @@ def create_panel(
     label: str = "predicted_label",
 ) -> DataFrame:
     """Videos per country and day: by published or trending day, all rows or first
-    appearances only (the latter with the start of the data trimmed)."""
+    appearances only (the latter with the start of the data trimmed: 14 days by
+    published day; by trending day 10 videos per country, or 10 days with ``trim_by="days"``)."""
+    if trim_by not in ("rows", "days"):
+        raise ValueError(trim_by)
     dated = records.withColumn("date_clean", day(records, DAY_COLUMN[date_type]))
     if duplicates:
         return country_day_panel(dated, label)
@@ -54,7 +59,9 @@ def create_panel(
     first = first_appearance(narrow, order, keep=["video_id", "country_code", "date_clean", label])
     if date_type == "published":
         return trimmed_published(settle(country_day_panel(first, label)))
-    return country_day_panel(trimmed_trending(first, by=trim_by), label)
+    if trim_by == "days":
+        return trimmed_first_days(country_day_panel(first, label))
+    return country_day_panel(trimmed_first_rows(settle(first)), label)
 
 
 def with_calendar(panel: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,8 +186,8 @@ def sport_pages(spark, sf):
 
 def games_pages(spark, sf):
     """Both fixed lists over whole documents and pages, matches counted per table."""
-    docs = views.table(spark, sf, "documents").select(F.lit("documents").alias("tab"), F.col("text"))
-    pages = views.table(spark, sf, "pages").select(F.lit("pages").alias("tab"), F.col("html").alias("text"))
+    docs = spread(views.table(spark, sf, "documents", "text")).select(F.lit("documents").alias("tab"), "text")
+    pages = spread(views.table(spark, sf, "pages", "html")).select(F.lit("pages").alias("tab"), F.col("html").alias("text"))
     flagged = docs.unionByName(pages).select(
         "tab", has_keyword(F.col("text"), fixed.GAMES_STEMS).alias("games"),
         has_keyword(F.col("text"), fixed.SPORT_TERMS).alias("sport"),
@@ -325,7 +326,7 @@ def rule_labels(spark, sf):
 
 def incremental_label(spark, sf):
     """The same labels as a batch, from a file stream with a checkpoint."""
-    folder = f"{scratch_dir(spark)}/incremental-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}"
+    folder = f"{scratch_dir(spark)}/incremental-{spark.sparkContext.applicationId}-{crc32(sf.encode())}"
     rows = incremental.record_stream(spark, sf, "documents.parquet")
     keyword = has_keyword(F.col("text"), CORPUS_TERMS)
     answer = F.concat(F.lit('{"label":"'), F.when(keyword, "other_sport").otherwise("non_sport"),

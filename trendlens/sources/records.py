@@ -84,7 +84,8 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     starts = blocks.select(
         "source_file", "source_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    placed = attach_small(rows, starts, ["source_file", "source_block"], "inner")
+    # one short row per input split: a million of them are 128 TB of default-sized splits
+    placed = attach_small(rows, starts, ["source_file", "source_block"], "inner", max_rows=1_000_000)
     seq = (F.col("_start") + F.col("source_row") - F.col("_first")).alias("ingest_seq")
     return placed.select(*[c for c in rows.columns if c not in _POSITION], seq)
 

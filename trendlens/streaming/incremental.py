@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.functions import fixed
 from trendlens.functions.text import has_keyword, joined_text
-from trendlens.sources.sinks import append_answers
+from trendlens.sources.records import existing
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -31,14 +32,15 @@ def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = Non
 
     Every micro-batch writes its own folder ``batch=<id>`` and overwrites it
     when it is retried, so a rerun after a lost driver leaves each row once.
+    As CSV, the answer columns are written in their fixed order.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = step(batch) if step else batch
         target = f"{out}/batch={batch_id}"
         if csv:
-            writer = done.write.mode("overwrite").option("header", True).option("escape", '"')
-            writer.csv(target)
+            writer = existing(done, fixed.ANSWER_COLUMNS).write.mode("overwrite").option("header", True)
+            writer.option("escape", '"').csv(target)
         else:
             done.write.mode("overwrite").parquet(target)
 
@@ -60,5 +62,3 @@ def lookup_stream(rows: DataFrame, known: DataFrame, key: str, value: str, defau
     """Join a stream with a static (key, value) table; misses get the default."""
     return rows.join(known, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
-
-__all__ = ["record_stream", "run_once", "keyword_stream", "lookup_stream", "append_answers"]
