@@ -30,9 +30,9 @@ def with_shares(panel: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Non-null values with their count and their share of the non-null rows."""
-    known = df.filter(F.col(col).isNotNull())
-    counts = known.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / known.agg(F.count(F.lit(1))).scalar())
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    # the total comes from the counts, whose shuffle is reused
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def record_counts(df: DataFrame, key: str = "video_id", country: str = "country_code") -> DataFrame:

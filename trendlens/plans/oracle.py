@@ -366,6 +366,13 @@ SELECT page_id, CASE WHEN regexp_matches(url || ' ' || html, {_terms(fixed.GAMES
     "incremental_label": f"""
 SELECT doc_id, lang AS country_code, CASE WHEN regexp_matches(text, {_terms(CORPUS_TERMS)}, 'i')
        THEN 'other_sport' ELSE 'non_sport' END AS label, {_KEYWORD_REASON} FROM documents""",
+    "incremental_candidates": f"""
+SELECT doc_id, lang AS country_code FROM documents WHERE regexp_matches(text, {_terms(CORPUS_TERMS)}, 'i')""",
+    "incremental_lookup": f"""WITH {VIDEOS}, known AS (
+  SELECT video_id, country_code FROM videos WHERE predicted_label = 'olympic'
+  QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {ORDER}) = 1)
+SELECT coalesce(country_code, 'XX') AS country_code, count(*) AS n
+FROM lineitem LEFT JOIN known ON l_partkey = video_id GROUP BY 1""",
     "dedup_train": f"""{TRAIN} SELECT doc_id, label FROM train
 QUALIFY row_number() OVER (PARTITION BY {_strip('title')} ORDER BY doc_id) = 1""",
     "token_counts": f"""WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)

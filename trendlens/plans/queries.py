@@ -324,9 +324,33 @@ def rule_labels(spark, sf):
     return labelling.with_labels(pages).select("page_id", "label", "reason")
 
 
+def _stream_folder(spark, sf, job):
+    return f"{scratch_dir(spark)}/{job}-{spark.sparkContext.applicationId}-{crc32(sf.encode())}"
+
+
+def incremental_candidates(spark, sf):
+    """The keyword filter on a file stream."""
+    folder = _stream_folder(spark, sf, "candidates")
+    rows = incremental.record_stream(spark, sf, "documents.parquet").select("doc_id", "text", "lang")
+    found = incremental.keyword_stream(rows, ["text"], CORPUS_TERMS).select("doc_id", F.col("lang").alias("country_code"))
+    incremental.run_once(found, f"{folder}/state", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "country_code")
+
+
+def incremental_lookup(spark, sf):
+    """A stream of line items joined with the static table of each part's first country."""
+    folder = _stream_folder(spark, sf, "lookup")
+    known = views.videos(spark, sf).filter(F.col("predicted_label") == "olympic")
+    known = lookups.first_seen(known, "video_id", "country_code", ORDER)
+    items = incremental.record_stream(spark, sf, "lineitem.parquet").select(F.col("l_partkey").alias("video_id"))
+    found = incremental.lookup_stream(items, known, "video_id", "country_code", fixed.NO_COUNTRY)
+    incremental.run_once(found, f"{folder}/state", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").groupBy("country_code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def incremental_label(spark, sf):
     """The same labels as a batch, from a file stream with a checkpoint."""
-    folder = f"{scratch_dir(spark)}/incremental-{spark.sparkContext.applicationId}-{crc32(sf.encode())}"
+    folder = _stream_folder(spark, sf, "label")
     rows = incremental.record_stream(spark, sf, "documents.parquet")
     keyword = has_keyword(F.col("text"), CORPUS_TERMS)
     answer = F.concat(F.lit('{"label":"'), F.when(keyword, "other_sport").otherwise("non_sport"),
@@ -503,6 +527,8 @@ QUERIES = {
     "failed_answers": failed_answers,
     "rule_labels": rule_labels,
     "incremental_label": incremental_label,
+    "incremental_candidates": incremental_candidates,
+    "incremental_lookup": incremental_lookup,
     "dedup_train": dedup_train,
     "token_counts": token_counts,
     "ngram_vocab": ngram_vocab,
