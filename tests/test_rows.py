@@ -179,6 +179,55 @@ def test_lookup_ignores_null_values(spark):
     assert sorted(r["country_code"] for r in lookups.lookup_country(cands, known, ["seq"]).collect()) == ["BR", "XX"]
 
 
+def test_annotate_picks_the_key_both_have(spark):
+    records = spark.createDataFrame([(1, "v1", "a", "BR"), (2, "v2", "b", "US")], "seq long, video_id string, title string, country_code string")
+    cands = spark.createDataFrame([("v1", "a"), ("lost", "b"), (None, "c")], "video_id string, title string")
+
+    def got(df, **options):
+        rows = lookups.annotate_country(df, records, ["seq"], **options).collect()
+        return {r["title"]: r["country_code"] for r in rows}
+
+    assert got(cands) == {"a": "BR", "b": "XX", "c": "XX"}
+    assert got(cands, use_signature_if_missing=True) == {"a": "BR", "b": "US", "c": "XX"}
+    assert got(cands.drop("video_id")) == {"a": "BR", "b": "US", "c": "XX"}
+
+
+@pytest.fixture()
+def few_rows_are_hot(monkeypatch):
+    monkeypatch.setattr(session_module, "HOT_ROWS", 100)
+    monkeypatch.setattr(session_module, "SALTS", 8)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_hot_join_gives_the_plain_join(spark, few_rows_are_hot, how):
+    kind = F.col("id") % 3
+    key = F.when(kind == 0, "hot").when(kind == 1, None).when(F.col("id") % 30 == 2, "unknown")
+    left = spark.range(0, 3000, 1, 12).select("id", key.otherwise(F.col("id").cast("string")).alias("k"))
+    right = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    right = right.union(spark.createDataFrame([("hot", -1)], "k string, v long")).groupBy("k").agg(F.max("v").alias("v"))
+    got = session_module.join_hot(left, right, ["k"], how)
+    want = left.join(right, ["k"], how)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_hot_key_rows_go_to_many_tasks(spark, few_rows_are_hot):
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("-1", "false")):
+        spark.conf.set(n, v)
+    try:
+        left = spark.range(0, 3000, 1, 12).select("id", F.lit("hot").alias("video_id"))
+        known = spark.createDataFrame([(1, "hot", "BR"), (2, "x", "US")], "seq long, video_id string, country_code string")
+        got = lookups.lookup_country(left, known, ["seq"]).withColumn("task", F.spark_partition_id())
+        rows = got.groupBy("task", "country_code").count().collect()
+        assert sum(r["count"] for r in rows) == 3000 and {r["country_code"] for r in rows} == {"BR"}
+        assert len(rows) > 1
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
 def test_exclude_signed_partitions_all(spark):
     rows = [(i, f"t{i % 40}", "c", None) for i in range(100)]
     df = spark.createDataFrame(rows, "seq long, title string, channelTitle string, publish_time string")

@@ -122,7 +122,7 @@ def test_incremental_runs_take_new_files_once(spark, folder):
 def test_stream_static_lookup(spark, folder):
     spark.createDataFrame([("v1",), ("v2",)], "video_id string").write.parquet(f"{folder}/in")
     known = spark.createDataFrame([("v1", "BR")], "video_id string, country_code string")
-    rows = incremental.lookup_stream(incremental.record_stream(spark, f"{folder}/in"), known, "video_id", "country_code", "XX")
-    incremental.run_once(rows, f"{folder}/state", f"{folder}/out", csv=True)
+    step = incremental.lookup_step(known, "video_id", "country_code", "XX")
+    incremental.run_once(incremental.record_stream(spark, f"{folder}/in"), f"{folder}/state", f"{folder}/out", step, csv=True)
     got = spark.read.option("header", True).csv(f"{folder}/out")
     assert sorted((r["video_id"], r["country_code"]) for r in got.collect()) == [("v1", "BR"), ("v2", "XX")]

@@ -1,7 +1,7 @@
 """Lookup, fallback lookup and exclusion joins.
 
-Sides are not hinted: dimensions grow with the data, so AQE decides between
-broadcast and sort-merge and splits skewed partitions of the probing side.
+Sides are not hinted: dimensions grow with the data, so sizes decide between
+broadcast and shuffle. Hot keys of the probing side are split.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.functions.text import signature
+from trendlens.session import join_hot
 
 
 def first_seen(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -23,6 +24,12 @@ def _without(df: DataFrame, col: str) -> DataFrame:
     return df.drop(col) if col in df.columns else df
 
 
+def _signed(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Add the record signature; a field the table lacks counts as empty."""
+    absent = {c: F.lit(None).cast("string") for c in fields if c not in df.columns}
+    return df.withColumns(absent).withColumn("_sig", signature(list(fields))).drop(*absent)
+
+
 def lookup_country(
     candidates: DataFrame,
     records: DataFrame,
@@ -33,7 +40,7 @@ def lookup_country(
 ) -> DataFrame:
     """Candidates with the country first seen for their key; row count is kept."""
     known = first_seen(records, key, country, order)
-    joined = _without(candidates, country).join(known, key, "left")
+    joined = join_hot(_without(candidates, country), known, [key])
     filled = F.coalesce(F.col(country).cast("string"), F.lit(default)).alias(country)
     return joined.select(*[c for c in candidates.columns if c != country], filled)
 
@@ -49,21 +56,35 @@ def lookup_country_or_signature(
 ) -> DataFrame:
     """As ``lookup_country``; keys that miss are looked up by record signature."""
     by_key = first_seen(records, key, country, order).withColumnRenamed(country, "_by_key")
-    signed = records.withColumn("_sig", signature(list(fields)))
-    by_sig = first_seen(signed, "_sig", country, order).withColumnRenamed(country, "_by_sig")
-    joined = (
-        _without(candidates, country)
-        .withColumn("_sig", signature(list(fields)))
-        .join(by_key, key, "left")
-        .join(by_sig, "_sig", "left")
-    )
+    by_sig = first_seen(_signed(records, fields), "_sig", country, order).withColumnRenamed(country, "_by_sig")
+    joined = join_hot(_signed(_without(candidates, country), fields), by_key, [key])
+    joined = join_hot(joined, by_sig, ["_sig"])
     filled = F.coalesce(F.col("_by_key").cast("string"), F.col("_by_sig").cast("string"), F.lit(default))
     return joined.select(*[c for c in candidates.columns if c != country], filled.alias(country))
 
 
+def annotate_country(
+    candidates: DataFrame,
+    records: DataFrame,
+    order: list[str],
+    use_signature_if_missing: bool = False,
+    key: str = "video_id",
+    country: str = "country_code",
+    fields: tuple[str, ...] = ("title", "channelTitle", "publish_time"),
+) -> DataFrame:
+    """Country for candidates by the best key both tables have: the video id, with the
+    signature as an optional fallback, or the signature alone."""
+    if key in candidates.columns and key in records.columns:
+        if use_signature_if_missing:
+            return lookup_country_or_signature(candidates, records, order, key, country, fields)
+        return lookup_country(candidates, records, order, key, country)
+    found = lookup_country(_signed(candidates, fields), _signed(records, fields), order, "_sig", country)
+    return found.drop("_sig")
+
+
 def exclude_signed(
     records: DataFrame, candidates: DataFrame, fields: tuple[str, ...] = ("title", "channelTitle", "publish_time")
 ) -> DataFrame:
     """Records whose signature is not among the candidates'."""
-    taken = candidates.select(signature(list(fields)).alias("_sig")).distinct()
-    return records.withColumn("_sig", signature(list(fields))).join(taken, "_sig", "left_anti").drop("_sig")
+    taken = _signed(candidates, fields).select("_sig").distinct()
+    return join_hot(_signed(records, fields), taken, ["_sig"], "left_anti").drop("_sig")

@@ -341,10 +341,10 @@ def incremental_lookup(spark, sf):
     """A stream of line items joined with the static table of each part's first country."""
     folder = _stream_folder(spark, sf, "lookup")
     known = views.videos(spark, sf).filter(F.col("predicted_label") == "olympic")
-    known = lookups.first_seen(known, "video_id", "country_code", ORDER)
+    known = settle(lookups.first_seen(known, "video_id", "country_code", ORDER))
     items = incremental.record_stream(spark, sf, "lineitem.parquet").select(F.col("l_partkey").alias("video_id"))
-    found = incremental.lookup_stream(items, known, "video_id", "country_code", fixed.NO_COUNTRY)
-    incremental.run_once(found, f"{folder}/state", f"{folder}/out")
+    step = incremental.lookup_step(known, "video_id", "country_code", fixed.NO_COUNTRY)
+    incremental.run_once(items, f"{folder}/state", f"{folder}/out", step)
     return spark.read.parquet(f"{folder}/out").groupBy("country_code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -81,9 +81,41 @@ def attach_small(
 
     At most ``max_rows + 1`` rows of ``right`` are looked at. If that is all
     of it, the rows are broadcast and ``left`` is not shuffled; if not, the
-    join is left to the optimizer (sort-merge with AQE skew handling).
+    two are shuffled, hot keys split.
     """
     head = right.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        right = F.broadcast(left.sparkSession.createDataFrame(head, right.schema))
-    return left.join(right, on, how)
+        return left.join(F.broadcast(left.sparkSession.createDataFrame(head, right.schema)), on, how)
+    return join_hot(left, right, on, how)
+
+
+HOT_ROWS = 1_000_000  # a key with more rows than this is split
+MAX_HOT = 1_000  # the most frequent ones; any other key holds less than a thousandth of the rows
+SALTS = 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Left, inner or anti join whose left side may have hot keys (null among them).
+
+    AQE cannot split a join partition when one side is an aggregate on the
+    join key, as dimensions are. So the left keys are counted first; rows of
+    hot keys are spread over salts by the partition they come from, and the
+    right rows of those keys are repeated once per salt. Without hot keys it
+    is a plain join.
+    """
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+    keys = counts.orderBy(F.desc("_n"), *on).limit(MAX_HOT).select(*on)
+    found = keys.toArrow()
+    if not found.num_rows:
+        return left.join(right, on, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, keys.schema).withColumn("_hot", F.lit(True)))
+    no_key = F.lit(False)
+    for c in on:
+        no_key = no_key | F.col(c).isNull()
+    spread_over = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    salted = left.join(hot, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, spread_over).otherwise(0)
+    ).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.functions.text import has_keyword, joined_text
+from trendlens.session import join_hot
 from trendlens.sources.records import existing
 
 Step = Callable[[DataFrame], DataFrame]
@@ -58,7 +59,14 @@ def keyword_stream(rows: DataFrame, cols: list[str], terms: list[str]) -> DataFr
     return rows.filter(has_keyword(joined_text(cols), terms))
 
 
-def lookup_stream(rows: DataFrame, known: DataFrame, key: str, value: str, default: str) -> DataFrame:
-    """Join a stream with a static (key, value) table; misses get the default."""
-    return rows.join(known, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+def lookup_step(known: DataFrame, key: str, value: str, default: str) -> Step:
+    """A step that joins each batch with a static (key, value) table; misses get the default.
+
+    Batches are planned like any batch query, and hot keys are split.
+    """
+
+    def step(batch: DataFrame) -> DataFrame:
+        return join_hot(batch, known, [key]).withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+
+    return step
 
