@@ -29,7 +29,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 def train_text_classifier(
     rows: DataFrame, key: list[str], rare: str = "olympic", target: int = 400, split_first: bool = False,
-    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 100,
+    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 300,
 ) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     """Fitted features, fitted classifier, and the scored validation rows.
 
