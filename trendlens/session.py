@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +52,34 @@ def _local_dir(application: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files.
+    """Write ``df`` as Parquet to the shared scratch folder and go on from the files.
 
     Used where one result feeds several jobs (an iterative fit, a cut-off and
     the filter that uses it), so that lost executors cost a re-read, not a
-    recomputation.
+    recomputation. Columns can be pruned and filters pushed into what is read
+    back. The session's settled tables are removed when the driver ends.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
-    return df.checkpoint(eager=True)
+    place = f"{_settled_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+_folders: dict[str, str] = {}
+
+
+def _settled_dir(spark: SparkSession) -> str:
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        _folders[application] = f"{scratch_dir(spark)}/settled-{application}"
+        atexit.register(_remove, spark, _folders[application])
+    return _folders[application]
+
+
+def _remove(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, max_splits: int = 64) -> DataFrame:
