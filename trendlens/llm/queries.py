@@ -1,8 +1,9 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import chat, urls
+from trendlens.llm import bpe, chat, urls
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
     "op8_urls": urls.op8_urls,
 }
