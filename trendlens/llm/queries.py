@@ -1,10 +1,11 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, urls
+from trendlens.llm import bpe, chat, packing, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
+    "op6_packing": packing.op6_packing,
     "op8_urls": urls.op8_urls,
 }
 ORACLE = {name: sql for name, sql in {

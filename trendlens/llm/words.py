@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE2 = 0xC2B2AE3D27D4EB4F | 1
 LETTER, NUMBER, SPACE = 1, 2, 3
