@@ -1,15 +1,17 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, packing, urls, warc
+from trendlens.llm import bpe, chat, packing, substrings, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
     "op6_packing": packing.op6_packing,
+    "op7_substrings": substrings.op7_substrings,
     "op8_urls": urls.op8_urls,
     "op9_warc": warc.op9_warc,
 }
 ORACLE = {name: sql for name, sql in {
     "op3_chat": chat.ORACLE_SQL,
+    "op7_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }.items() if sql}

@@ -153,3 +153,33 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     total = int(length.sum())
     shift = start - (np.cumsum(length) - length)
     return pool[np.repeat(shift, length) + np.arange(total)]
+
+
+def window_hashes(hashes: np.ndarray, length: int, base: int = BASE2) -> np.ndarray:
+    """A hash of each stretch of ``length`` word hashes, by where it begins."""
+    if len(hashes) < length:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(hashes) + 1, base)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ np.uint64(base)) * up[:-1], out=total[1:])
+    return mix((total[length:] - total[:-length]) * down[: len(total) - length])
+
+
+def sliding(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    """``of`` over each stretch of ``width`` values, in log(width) steps."""
+    have, out = 1, values
+    while 2 * have <= width:
+        out = of(out[:-have], out[have:])
+        have *= 2
+    return of(out[: len(values) - width + 1], out[width - have: len(values) - have + 1]) if width > have else out
+
+
+def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words with one space between."""
+    if not len(starts):
+        return b""
+    length = ends - starts + 1
+    padded = np.append(raw, np.uint8(0x20))
+    out = gather(padded, starts, length)
+    out[np.cumsum(length) - 1] = 0x20
+    return out[:-1].tobytes()
