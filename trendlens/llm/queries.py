@@ -1,6 +1,6 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, packing, substrings, urls, warc
+from trendlens.llm import bpe, chat, fingerprints, packing, substrings, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_substrings": substrings.op7_substrings,
     "op8_urls": urls.op8_urls,
     "op9_warc": warc.op9_warc,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLE = {name: sql for name, sql in {
     "op3_chat": chat.ORACLE_SQL,
