@@ -1,10 +1,11 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, fingerprints, packing, substrings, urls, warc
+from trendlens.llm import bpe, chat, fingerprints, language, packing, substrings, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_chat": chat.op3_chat,
+    "op5_language": language.op5_language,
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
     "op8_urls": urls.op8_urls,
