@@ -1,9 +1,10 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, fingerprints, language, packing, substrings, urls, warc
+from trendlens.llm import bpe, chat, fingerprints, language, packing, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_vectors": vectors.op2_vectors,
     "op3_chat": chat.op3_chat,
     "op5_language": language.op5_language,
     "op6_packing": packing.op6_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 ORACLE = {name: sql for name, sql in {
+    "op2_vectors": vectors.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
     "op7_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
