@@ -1,11 +1,12 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, fingerprints, language, packing, substrings, urls, vectors, warc
+from trendlens.llm import bpe, chat, fingerprints, jaccard, language, packing, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_vectors": vectors.op2_vectors,
     "op3_chat": chat.op3_chat,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_language": language.op5_language,
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLE = {name: sql for name, sql in {
     "op2_vectors": vectors.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
+    "op4_jaccard": jaccard.ORACLE_SQL,
     "op7_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
 }.items() if sql}
