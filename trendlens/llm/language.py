@@ -118,13 +118,15 @@ def transition_table(model: dict) -> tuple[np.ndarray, np.ndarray]:
     phrase ended."""
     parts, roots, at = [], [], 0
     for state, symbol, target, n in model["automata"]:
-        table = np.full((n, SYMBOLS), -1, np.int64)
+        lost = 2 * (at + n * SYMBOLS)  # the state after a character that the language's text does not hold
+        table = np.full((n + 1, SYMBOLS), -1, np.int64)
         table[state, symbol] = 2 * (at + target.astype(np.int64) * SYMBOLS)
-        root = np.where(table[0] >= 0, table[0], 2 * at) + 1  # go on with this character from the root
-        table = np.where(table >= 0, table, root[None, :])
+        again = np.where(table[0] >= 0, table[0], lost)  # begin a phrase with this character
+        table[0] = again
+        table = np.where(table >= 0, table, again[None, :] + 1)
         parts.append(table.ravel().astype(np.int32))
         roots.append(at)
-        at += n * SYMBOLS
+        at += (n + 1) * SYMBOLS
     return np.concatenate(parts), np.array(roots, np.int32)
 
 
