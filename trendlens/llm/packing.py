@@ -95,7 +95,7 @@ def patterns(histogram: dict[int, int], capacity: int, tolerance: float = 2e-3,
     demand = np.array([histogram[int(n)] for n in lengths], float)
     basis = np.diag((capacity // lengths).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = np.einsum("ij,j->i", inverse, demand)
     for turn in range(rounds * m):
         if x.sum() * capacity <= (1 + tolerance) * float(lengths @ demand):
             break
@@ -118,7 +118,7 @@ def patterns(histogram: dict[int, int], capacity: int, tolerance: float = 2e-3,
             else:
                 column[take[room]] += 1
                 room -= int(lengths[take[room]])
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -129,7 +129,7 @@ def patterns(histogram: dict[int, int], capacity: int, tolerance: float = 2e-3,
         inverse[others] -= np.outer(step[others], inverse[out])
         if turn % 50 == 49:
             inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
     left, made = demand.astype(np.int64), []
     for j in np.argsort(-x):
         counts = basis[:, j].astype(np.int64)
