@@ -1,5 +1,71 @@
-"""Corpus pipeline."""
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Corpus pipeline: language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a table; between stages tables are
+written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Nulls: a document without text has no language and goes in the first stage; documents without id are in no group and stay.
+Empty tables give empty tables. Columns beyond those of ``documents`` are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trendlens.llm.jaccard import jaccard_components
+from trendlens.llm.language import UNKNOWN, fit, held_out, labelled_text, predict
+from trendlens.llm.packing import pack_documents
+from trendlens.llm.substrings import remove_repeats
+from trendlens.session import settle
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language is found: those without a letter. A missing ``lang`` is filled in."""
+    model = fit(labelled_text(docs, ~held_out(F.col("doc_id")), 64, 32_000))
+    told = predict(docs.select(F.col("text").alias("_text"), *COLUMNS), model)
+    found = F.col("lang_pred") != UNKNOWN
+    return told.where(found if model["languages"] else F.col("text").isNotNull()).withColumn(
+        "lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group. Of rows with one id, one is kept."""
+    groups = jaccard_components(docs)
+    go = settle(groups.where("component_id != doc_id").select("doc_id").distinct())
+    kept = docs.select(*COLUMNS).join(go, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document holds; a document of which nothing is left goes."""
+    changed = settle(remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"]))
+    text = F.coalesce("kept", "text")
+    return docs.select(*COLUMNS).join(changed, "doc_id", "left").where("kept is null or kept != ''").select(
+        "doc_id", text.alias("text"), "lang", "source",
+        F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 1024 ids."""
+    return pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language", language_stage), ("near duplicates", near_duplicate_stage),
+    ("repeated passages", substring_stage), ("packing", packing_stage),
+]
+ORACLE_SQL = None  # cross-parsing is no SQL; tested against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
