@@ -3,8 +3,9 @@
 A document's set holds its distinct shingles of ``shingle`` words. Two documents link when 100 * intersection >=
 ``percent`` * union. All sets order their shingles alike: by the logarithm of how many documents hold the shingle's class
 (its leading hash bits), then by hash. Sets that link share at least two shingles in their prefixes of
-n - ceil(percent * n / 100) + 2, unless they are equal. Shingles whose class is in one document alone can be shared by none
-and are left out of the index, which is most of it.
+n - ceil(percent * n / 100) + 2, unless they are equal. Shingles whose class is in one document alone can be shared by none:
+they are left out of the index, which is most of it. How many of its shingles others hold, and a bitmap of parities, bound
+any intersection from above, so most pairs that meet in a list are never compared.
 
 Equal sets are one class. Then the lists of the index are used twice. First each document is compared with one other, the
 least document of the list it shares most entries with: groups of near copies fall into few components, at one
@@ -36,6 +37,15 @@ from trendlens.llm.words import slices, text_words, window_hashes
 from trendlens.session import settle
 
 CLASS_BITS = 32
+#: What is known of a set without its shingles: how many, how many of them other documents hold, and the parity of
+#: how many fall on each of 256 places. Two sets differ in at least as many shingles as places.
+SHAPE_TYPE = "shape struct<n: bigint, held: bigint, p0: bigint, p1: bigint, p2: bigint, p3: bigint>"
+
+
+def shape_of(items: np.ndarray, level: np.ndarray) -> dict[str, int]:
+    odd = np.bincount((items & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    places = np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+    return {"n": len(items), "held": int((level > 0).sum()), **{f"p{i}": v for i, v in enumerate(places)}}
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -131,31 +141,30 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             mine = level[np.searchsorted(found, s >> np.uint64(64 - CLASS_BITS))] if n else np.zeros(0, np.uint32)
             order = np.lexsort((s, mine))[: n + (-n * percent // 100) + 2]
             shared = order[mine[order] > 0]
-            for name, value in (("doc_id", doc), ("n_shingles", n), ("s1", int.from_bytes(digest[:8], "little", signed=True)),
+            for name, value in (("doc_id", doc), ("n_shingles", n), ("shape", shape_of(s, mine)), ("s1", int.from_bytes(digest[:8], "little", signed=True)),
                                 ("s2", int.from_bytes(digest[8:], "little", signed=True)), ("prefix", s[shared].tobytes())):
                 out[name].append(value)
         return pa.Table.from_pydict(out, schema=prefix_schema)
 
-    prefix_kind = "doc_id long, n_shingles long, s1 long, s2 long, prefix binary"
+    prefix_kind = f"doc_id long, n_shingles long, {SHAPE_TYPE}, s1 long, s2 long, prefix binary"
     count_schema, prefix_schema = _arrow(count_kind), _arrow(prefix_kind)
     levels = base.groupBy("block").applyInArrow(send, count_kind).groupBy("bucket").applyInArrow(count_up, count_kind)
     return base.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(choose, prefix_kind)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """One row per indexed shingle of a set."""
-    kind = "token long, doc long, n long"
+    """One row per indexed shingle of a set: token, doc, shape."""
+    kind = f"token long, doc long, {SHAPE_TYPE}"
 
     def rows(batches):
         for batch in batches:
             packed = batch.column("prefix").to_pylist()
-            count = [len(x) // 8 for x in packed]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in packed]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(packed), "<i8")), pa.array(np.repeat(batch.column("doc_id").to_numpy(), count)),
-                 pa.array(np.repeat(batch.column("n_shingles").to_numpy(), count))], schema=schema)
+                [pa.array(np.frombuffer(b"".join(packed), "<i8")), batch.column("doc_id").take(at), batch.column("shape").take(at)],
+                names=["token", "doc", "shape"])
 
-    schema = _arrow(kind)
-    return sets.select("doc_id", "n_shingles", "prefix").mapInArrow(rows, kind)
+    return sets.select("doc_id", "shape", "prefix").mapInArrow(rows, kind)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -193,25 +202,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def _alike(n, m, percent: int):
-    """Whether set sizes allow a link."""
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+def _alike(x: str, y: str, percent: int):
+    """Whether two shapes allow a link: an intersection of percent / (100 + percent) of both sizes together."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(4))
+    most = F.least(F.col(f"{x}.held"), F.col(f"{y}.held"), F.floor((n + m - apart) / 2))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, frequent: int = 64) -> DataFrame:
     """(doc_id, text) to doc_id, n_shingles, component_id."""
     found = settle(prefixes(docs, shingle, percent))
     named = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    can_link = 100 * F.col("shape.held") >= percent * F.col("n_shingles")
     classes = settle(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     own = named.join(classes, ["s1", "s2"])
-    postings = settle(_postings(own.where("rep = doc_id").dropDuplicates(["doc_id", "s1", "s2"])))
+    postings = settle(_postings(own.where((F.col("rep") == F.col("doc_id")) & can_link).dropDuplicates(["doc_id", "s1", "s2"])))
     same_id = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")  # equal ids or sets
 
     lists = settle(postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n")).alias("least")).where("size > 1"))
+        F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "shape")).alias("least")).where("size > 1"))
     index = settle(postings.join(lists, "token"))
     sets = settle(_sets_of(docs, index.select("doc").distinct(), shingle))
-    star = index.where((F.col("doc") != F.col("least.doc")) & _alike(F.col("n"), F.col("least.n"), percent))
+    star = index.where((F.col("doc") != F.col("least.doc")) & _alike("shape", "least.shape", percent))
     best = star.groupBy("doc", F.col("least.doc").alias("other")).count().groupBy("doc").agg(
         F.max(F.struct("count", (-F.col("other")).alias("other"))).alias("m"))
     pairs = settle(best.select((-F.col("m.other")).alias("a"), F.col("doc").alias("b")))
@@ -219,19 +232,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, fre
 
     joined = settle(components(links))
     placed = settle(index.join(joined.withColumnRenamed("vertex", "doc"), "doc", "left").select(
-        "token", "doc", "n", "size", F.coalesce("component", "doc").alias("component")))
+        "token", "doc", "shape", "size", F.coalesce("component", "doc").alias("component")))
     open_lists = settle(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                         .where("lo != hi").select("token"))
     entries = settle(placed.join(open_lists, "token"))
-    rare = entries.where(F.col("size") <= frequent).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc", "n", "component")
-    common = entries.where(F.col("size") > frequent).groupBy("doc", "n", "component").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    rare = entries.where(F.col("size") <= frequent).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc", "shape", "component")
+    common = entries.where(F.col("size") > frequent).groupBy("doc", "shape", "component").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     two = F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> struct(x AS k1, y AS k2))))")
-    combined = common.select(F.explode(two).alias("k"), "doc", "n", "component").select("k.k1", "k.k2", "doc", "n", "component")
+    combined = common.select(F.explode(two).alias("k"), "doc", "shape", "component").select(
+        "k.k1", "k.k2", "doc", "shape", "component")
     keyed = settle(rare.unionByName(combined))
-    left = keyed.select("k1", "k2", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = keyed.select("k1", "k2", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    left = keyed.select("k1", "k2", F.col("doc").alias("a"), F.col("shape").alias("sa"), F.col("component").alias("ca"))
+    right = keyed.select("k1", "k2", F.col("doc").alias("b"), F.col("shape").alias("sb"), F.col("component").alias("cb"))
     rest = left.join(right, ["k1", "k2"]).where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(F.col("na"), F.col("nb"), percent))
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent))
     more = _verify(settle(rest.select("a", "b").distinct()), sets, percent)
 
     whole = components(links.unionByName(more).unionByName(same_id))
