@@ -16,7 +16,7 @@ def test_stages_against_brute_force(spark, folder):
     texts = near_copies(11, 12) + [
         shared + " " + " ".join(random.choices([f"q{i}" for i in range(500)], k=50)) for _ in range(4)] + [shared, shared + " x"]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    rows += [(900, None, None, "s", 0), (901, "12 34 !", None, "s", 7), (902, "words without a label here", None, "s", 25)]
+    rows += [(900, None, None, "s", 0), (901, "12 34 !", None, "s", 7), (902, "words without a label here", None, "s", 26)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
 
