@@ -1,6 +1,3 @@
-import json
-import re
-
 import pytest
 
 from trendlens.functions import answers, fixed, prompts
@@ -42,37 +39,29 @@ def test_json_case(spark, i):
     assert parsed(spark, [raw]) == [want]
 
 
-def brute(raw):
-    """Row-at-a-time reading of the same rules."""
-    if raw is None or not raw.strip():
-        return "non_sport", "empty_response"
-    raw = raw.strip()
-    found = re.search(r"\{.*\}", raw, re.S)
-    block = found.group(0) if found else raw
-    fix = block + "}" * max(block.count("{") - block.count("}"), 0)
-    fix += '"' * (fix.count('"') % 2)
-    if '"' in fix and not fix.strip().endswith("}") and fix.count("{") == fix.count("}"):
-        fix += "}"
-    for text in (block, fix):
-        try:
-            obj = json.loads(text)
-        except ValueError:
-            continue
-        if isinstance(obj, dict) and obj.get("label") in fixed.LABELS and isinstance(obj.get("reason"), str):
-            return obj["label"], obj["reason"]
-    label = re.search(r'"label"\s*:\s*"([^"]+)"', block)
-    label = label.group(1).lower() if label else ""
-    reason = re.search(r'"reason"\s*:\s*"([^"]*)', block)
-    reason = "parse_error" if not reason else reason.group(1).strip().rstrip(" ,;:") or "parse_truncated"
-    return label if label in fixed.LABELS else "non_sport", reason
-
-
-def test_json_against_brute_force(spark):
-    pieces = ["{", "}", '"label"', ":", '"olympic"', ",", '"reason"', '"x y"', '"', " tail", "[", "]"]
+CUT_SHORT = [
+    # how far the answer {"label":"other_sport","reason":"so it is"} came, and what is read from it
+    (0, ("non_sport", "empty_response")),
+    (1, ("non_sport", "parse_error")),
+    (9, ("non_sport", "parse_error")),
+    (15, ("non_sport", "parse_error")),
+    (21, ("non_sport", "parse_error")),
+    (22, ("other_sport", "parse_error")),
+    (23, ("other_sport", "parse_error")),
+    (31, ("other_sport", "parse_error")),
+    (33, ("other_sport", "}")),
+    (34, ("other_sport", "s}")),
+    (37, ("other_sport", "so i}")),
+    (41, ("other_sport", "so it is}")),
+    (42, ("other_sport", "so it is")),
+    (43, ("other_sport", "so it is")),
+]
+
+
+def test_json_cut_short(spark):
     whole = '{"label":"other_sport","reason":"so it is"}'
-    raws = [c for c, _ in CASES] + [whole[:n] for n in range(len(whole))] + [whole[n:] for n in range(len(whole))]
-    raws += [whole[:n] + p + whole[n:] for n in range(0, len(whole), 3) for p in pieces]
-    assert parsed(spark, raws) == [brute(r) for r in raws]
+    assert len(whole) == 43
+    assert parsed(spark, [whole[:n] for n, _ in CUT_SHORT]) == [want for _, want in CUT_SHORT]
 
 
 def test_quote_first_repair(spark):
@@ -94,7 +83,15 @@ def test_prompts(spark):
     df = spark.createDataFrame([("a\nb <<tags>>", "t", "d" * 900)], "title string, tags string, description string")
     slot, line = df.select(prompts.slot_prompt("T <<title>> G <<tags>>\n"), prompts.line_prompt("E\nTitle: {title}\nTags: {tags}")).first()
     assert slot == "T a b t G t"
-    assert line == "E\n\nTitle: a\nb <<tags>>\nTags: t\nDescription: " + "d" * 800 + "\n\n" + fixed.LINE_FORMAT
+    assert line == "E\n\n\nTitle: a\nb <<tags>>\nTags: t\nDescription: " + "d" * 800 + "\n\n" + fixed.LINE_FORMAT
+
+
+def test_line_prompt_literally(spark):
+    df = spark.createDataFrame([("A", "b", "c")], "title string, tags string, description string")
+    assert df.select(prompts.line_prompt("Title: t\nLabel: olympic\n\n")).first()[0] == (
+        "Title: t\nLabel: olympic\n\n\nTitle: A\nTags: b\nDescription: c\n\n\n"
+        "Answer using EXACTLY the following format (no extra text):\n"
+        "Label: <one of olympic | other_sport | non_sport>\nReason: <one short sentence>\n")
 
 
 def test_labeller_and_failed_rows(spark):

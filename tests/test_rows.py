@@ -195,7 +195,29 @@ def test_annotate_picks_the_key_both_have(spark):
 @pytest.fixture()
 def few_rows_are_hot(monkeypatch):
     monkeypatch.setattr(session_module, "HOT_ROWS", 100)
-    monkeypatch.setattr(session_module, "SALTS", 8)
+
+
+def test_as_many_hot_keys_as_there_are(spark, monkeypatch):
+    monkeypatch.setattr(session_module, "HOT_ROWS", 2)
+    left = spark.range(0, 9000, 1, 8).select("id", (F.col("id") % 2000).alias("k"))
+    right = spark.range(1990).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    got = {r["id"]: r["v"] for r in session_module.join_hot(left, right, ["k"]).collect()}
+    assert got == {i: i % 2000 * 3 if i % 2000 < 1990 else None for i in range(9000)}
+
+
+def test_more_than_a_thousand_of_each_group(spark):
+    df = spark.range(0, 7000, 1, 6).select("id", (F.col("id") % 3).alias("g"), (F.hash("id") % 50).alias("a"))
+    rows = [(r["g"], r["a"], r["id"]) for r in df.collect()]
+    for n in (1, 1500, 9999):
+        want = {x for g in range(3) for x in sorted(r for r in rows if r[0] == g)[:n]}
+        assert {(r["g"], r["a"], r["id"]) for r in ranking.take_first(df, ["g"], ["a", "id"], n).collect()} == want
+        assert {(r["g"], r["a"], r["id"]) for r in ranking.drop_first(df, ["g"], ["a", "id"], n).collect()} == set(rows) - want
+
+
+def test_positions_of_any_table(spark):
+    df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 501).alias("x"))
+    got = ranking.with_position(df, ["x"]).orderBy("x").collect()
+    assert [r["position"] for r in got] == list(range(500))
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])

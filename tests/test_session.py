@@ -42,8 +42,10 @@ def test_attach_small_hints_only_below_the_bound(spark):
 
 def test_settle_cuts_the_lineage(spark):
     df = session.settle(spark.range(10).withColumn("x", F.col("id") + 1))
-    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
-    assert df.count() == 10
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Range" not in plan
+    assert df.filter("x > 5").count() == 5
+    assert "ReadSchema: struct<x:bigint>" in df.select("x")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_spread_only_few_splits(spark):

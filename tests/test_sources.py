@@ -30,6 +30,14 @@ def test_land_and_read_merged(spark, folder):
     assert str(got[6]["publishedAt"]).startswith("2020-08-11 16:34:06")
 
 
+def test_own_country_and_zone(spark, folder):
+    put(f"{folder}/raw", "JP_trending.csv", "country_code,publishedAt\nXX,2024-07-27T03:00:00+09:00\n")
+    records.land_csv(spark, f"{folder}/raw/*.csv", f"{folder}/all")
+    row = records.read_merged(spark, f"{folder}/all").first()
+    assert row["country_code"] == "JP"
+    assert str(row["publishedAt"]) == "2024-07-27 03:00:00"
+
+
 def test_splittable_files_keep_row_order(spark, folder):
     put(f"{folder}/raw", "BR_x.csv", "video_id,title\n" + "".join(f"{i:05d},{'t' * 50}\n" for i in range(4000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")

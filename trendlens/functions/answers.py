@@ -101,11 +101,10 @@ def _checked(objects: str) -> Column:
 
 def _searched(block: Column) -> Column:
     """struct(label, reason) by text search, for what is no valid object."""
-    reason_at = r'"reason"\s*:\s*"([^"]*)'
-    found = F.rtrim(strip(F.regexp_extract(block, reason_at, 1)), F.lit(" ,;:"))
+    found = F.rtrim(strip(F.regexp_extract(block, fixed.REASON_PATTERN, 1)), F.lit(" ,;:"))
     return F.struct(
-        valid_label(F.lower(F.regexp_extract(block, r'"label"\s*:\s*"([^"]+)"', 1))).alias("label"),
-        F.when(~block.rlike(reason_at), fixed.UNPARSED_REASON)
+        valid_label(F.lower(F.regexp_extract(block, fixed.LABEL_PATTERN, 1))).alias("label"),
+        F.when(~block.rlike(fixed.REASON_PATTERN), fixed.UNPARSED_REASON)
         .when(found == "", fixed.TRUNCATED_REASON)
         .otherwise(found)
         .alias("reason"),

@@ -59,6 +59,16 @@ LINE_FORMAT = (
     "Reason: <one short sentence>\n"
 )
 
+# Where label and reason are searched in answers that are no JSON.
+LABEL_PATTERN = r'"label"\s*:\s*"([^"]+)"'
+REASON_PATTERN = r'"reason"\s*:\s*"([^"]*)'
+
+# Text columns of the two keyword filters, and their default caps.
+TEXT_COLUMNS = ["title", "tags", "description", "channelTitle", "category_id", "country_code"]
+GAMES_COLUMNS = ["title", "tags", "description", "channel_title"]
+PER_COUNTRY = 200
+OVERALL = 2000
+
 # Columns of the answer tables, in order.
 ANSWER_COLUMNS = [
     "index", "title", "tags", "description", "video_id", "country_code", "label", "reason", "raw_resp",

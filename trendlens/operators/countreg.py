@@ -135,7 +135,8 @@ def _sandwich_pass(design, columns, betas, breads, alpha):
                 slack = 1 - leverage
                 jack = np.divide(score, slack, out=np.zeros_like(score), where=slack > 1e-10)
                 x0, x3 = x * score[:, None], x * jack[:, None]
-                sums[name] = sums.get(name, 0) + np.concatenate([(x0.T @ x0).ravel(), (x3.T @ x3).ravel()])
+                sums[name] = sums.get(name, 0) + np.concatenate(
+                    [(x0.T @ x0).ravel(), (x3.T @ x3).ravel(), x0.sum(axis=0)])
         yield pd.DataFrame({"model": list(sums), "vals": [v.tolist() for v in sums.values()]})
 
     return _summed(design, partials)
@@ -143,7 +144,7 @@ def _sandwich_pass(design, columns, betas, breads, alpha):
 
 RESULT = (
     "model string, term string, coef double, se_hc0 double, se_hc3 double, z double, p_value double, "
-    "ci_low double, ci_high double, dropped boolean, converged boolean, iterations int, n long"
+    "ci_low double, ci_high double, dropped boolean, converged boolean, iterations int, n long, score double"
 )
 
 
@@ -155,6 +156,7 @@ def fit_counts(
     alpha: float = 1.0,
     tol: float = 1e-7,
     max_iter: int = 100,
+    max_levels: int = 1000,
 ) -> DataFrame:
     """Coefficient tables of all ``models``, log link, offset ``log(exposure)``.
 
@@ -162,12 +164,14 @@ def fit_counts(
     with raw (``se_hc0``) and leave-one-out (``se_hc3``) residuals; z, p and the
     95 % interval use the latter. Terms that are zero on all rows are reported
     as dropped. A fit has converged when no coefficient moves by more than
-    ``tol`` of its standard error.
+    ``tol`` of its standard error. ``score`` is what is left of each term's score
+    equation, in units of its standard deviation. Models are as wide as their categories
+    have levels; more than ``max_levels`` of one are refused.
     """
     everything = [t for terms in models.values() for t in terms]
     used = [response, *([exposure] if exposure else []), *_inputs(everything)]
     rows = settle(df.select(*dict.fromkeys(used)).dropna())
-    levels = _levels(rows, everything)
+    levels = _levels(rows, everything, max_levels)
     per_model = {name: design_columns(terms, levels) for name, terms in models.items()}
     wide: dict[str, Column] = {}
     for cols in per_model.values():
@@ -206,12 +210,13 @@ def fit_counts(
             np.sqrt(np.maximum(np.diag(bread @ meats[m][a : a + half].reshape(p, p) @ bread), 0)) for a in (0, half)
         ]
         zero = np.diag(grams[m]) == 0
+        left = np.abs(meats[m][2 * half:]) / np.sqrt(np.where(zero, 1.0, np.diag(grams[m])))
         for j, term in enumerate(per_model[m]):
             coef, hc0, hc3 = float(betas[m][j]), float(errors[0][j]), float(errors[1][j])
             z = coef / hc3 if hc3 > 0 else None
             out.append((
                 m, term, coef, hc0, hc3, z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None,
                 coef - 1.959963984540054 * hc3, coef + 1.959963984540054 * hc3,
-                bool(zero[j]), m in done, done.get(m, max_iter), count[m],
+                bool(zero[j]), m in done, done.get(m, max_iter), count[m], float(left[j]),
             ))
     return df.sparkSession.createDataFrame(out, RESULT)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions.text import ngrams, tokens
+from trendlens.operators.ranking import with_position
 
 MAX_FEATURES = 80_000  # fixed value: vocabulary cap, the bound on what is broadcast below
 MAX_DF = 0.98  # fixed value
@@ -32,7 +33,8 @@ def vocabulary(
     """
     terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    return kept.orderBy(F.desc("cf"), "term").limit(max_features)
+    placed = with_position(kept, [F.desc("cf"), "term"], "_place")  # a distributed sort: no task takes the top of all
+    return placed.filter(F.col("_place") < max_features).drop("_place")
 
 
 def tfidf(

@@ -18,6 +18,13 @@ def metrics_frame(df: DataFrame, seen: Observation) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(values.values())], list(values))
 
 
+def lookup_counts(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys in a lookup table, candidate rows, and rows it assigned a value, as one row."""
+    hit = candidates.join(known.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
+    return hit.agg(F.count(F.lit(1)).alias("candidates"), F.count("_hit").alias("assigned")).withColumn(
+        "mapping", known.select(key).distinct().agg(F.count(F.lit(1))).scalar())
+
+
 def match_counts(df: DataFrame, matched: Column, key: str) -> DataFrame:
     """Rows scanned, rows matched and distinct keys, as one row."""
     per_key = df.groupBy(key).agg(

@@ -6,7 +6,7 @@ sorted in one task. Two tools:
 * hash order: rows are ordered by an MD5 of their key. A histogram over the
   first hex digits tells which bucket each rank falls in; only ranks inside a
   bucket are counted by a window, and buckets are small whatever the group's size.
-* given order: each group is first cut to n rows per salt, then over the salts.
+* given order: group and order columns are sorted over all partitions; a row's place gives its rank.
 
 Keys and orders must identify a row, or ties are decided arbitrarily.
 """
@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trendlens.session import attach_small
+from trendlens.session import attach_small, settle
 
 BUCKET_DIGITS = 4  # 65,536 buckets per group
-SALTS = 64
 
 
 def hash_order(key: list[str], seed: int) -> Column:
@@ -97,16 +96,30 @@ def split_by_hash(
     return sure.select(columns).unionByName(edge.select(columns))
 
 
+def with_position(df: DataFrame, order: list[str | Column], name: str = "position") -> DataFrame:
+    """Add each row's place 0, 1, … in a total order: a range-partitioned sort, written once, and one offset per partition.
+
+    Rows that tie in ``order`` keep the places they were given when they were written.
+    """
+    ids = F.monotonically_increasing_id()
+    placed = settle(df.orderBy(*order).select("*", F.shiftright(ids, 33).alias("_part"), (ids % F.lit(1 << 33)).alias("_at")))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition of the sort
+    starts = settle(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    joined = attach_small(placed, starts, ["_part"], "inner")
+    return joined.select(*df.columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def _cutoffs(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """Per group the order value of its n-th row (its last row if it has fewer)."""
-    salted = df.select(*by, *order).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    per_salt = W.partitionBy(*by, "_salt").orderBy(*order)
-    per_group = W.partitionBy(*by).orderBy(*order)
-    return (
-        salted.withColumn("_rn", F.row_number().over(per_salt)).filter(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(per_group)).filter(F.col("_rn") <= n)
-        .groupBy(*by).agg(F.max(F.struct(*order)).alias("_cut"))
-    )
+    """Per group the order value of its n-th row (its last row if it has fewer).
+
+    All rows are placed in one distributed order, in which a group is a run of any length over as many
+    partitions as it needs; the n-th row of a group is n - 1 places after its first.
+    """
+    placed = settle(with_position(df.select(*by, *order), [*by, *order], "_place"))
+    firsts = settle(placed.groupBy(*by).agg(F.min("_place").alias("_first")))
+    head = attach_small(placed, firsts, by, "inner").filter(F.col("_place") < F.col("_first") + n)
+    return head.groupBy(*by).agg(F.max(F.struct(*order)).alias("_cut"))
 
 
 def take_first(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

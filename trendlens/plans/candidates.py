@@ -11,12 +11,10 @@ from trendlens.operators.ranking import take_first
 from trendlens.operators.sampling import sample_per_country, sample_rows
 from trendlens.session import attach_small, settle
 
-TEXT_COLUMNS = ["title", "tags", "description", "channelTitle", "category_id", "country_code"]
-GAMES_COLUMNS = ["title", "tags", "description", "channel_title"]
 
 
 def keyword_candidates(
-    records: DataFrame, terms: list[str] = fixed.SPORT_TERMS, columns: list[str] = TEXT_COLUMNS
+    records: DataFrame, terms: list[str] = fixed.SPORT_TERMS, columns: list[str] = fixed.TEXT_COLUMNS
 ) -> DataFrame:
     """Records with a term in any of the text columns that exist."""
     present = [c for c in columns if c in records.columns]
@@ -28,9 +26,9 @@ def capped_candidates(
     order: list[str],
     key: list[str],
     terms: list[str] = fixed.GAMES_STEMS,
-    columns: list[str] = GAMES_COLUMNS,
-    per_country: int = 200,
-    overall: int = 2000,
+    columns: list[str] = fixed.GAMES_COLUMNS,
+    per_country: int = fixed.PER_COUNTRY,
+    overall: int = fixed.OVERALL,
     seed: int = 42,
 ) -> DataFrame:
     """Games candidates, the first ``per_country`` of each country, then a uniform
@@ -38,9 +36,10 @@ def capped_candidates(
     found = keyword_candidates(records, terms, columns)
     if "country_code" not in records.columns:
         return found.orderBy(*order).limit(overall)
-    # matching is the costly part; the passes below read its result
-    found = settle(found)
-    return sample_rows(take_first(found, ["country_code"], order, per_country), key, overall, seed)
+    # matching is the costly part; the passes below read its result, keys and order only
+    narrow = settle(found.select(*dict.fromkeys([*key, *order, "country_code"])))
+    drawn = sample_rows(take_first(narrow, ["country_code"], order, per_country), key, overall, seed).select(*key)
+    return attach_small(records, drawn, key, "inner").select(records.columns)
 
 
 def labelling_samples(

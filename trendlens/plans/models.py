@@ -39,6 +39,11 @@ def compare_medals(panel: DataFrame) -> DataFrame:
     return fit(panel, "medal_count", "medal_score").filter(F.col("term") == F.col("model"))
 
 
+def settled(table: DataFrame) -> DataFrame:
+    """What the data decide about a fit: its terms and rows, and that its score equations hold (``score`` is 0)."""
+    return table.select("model", "term", "n", "dropped", "converged", F.round("score", 6).alias("score"))
+
+
 def rolling_sweep(panel: DataFrame, widths: range = range(1, 22)) -> DataFrame:
     """One model per rolling window of medals: (rolling_window, coef, z_value). All share each pass."""
     rolled = with_rolling_sums(panel, widths=widths)
@@ -46,5 +51,5 @@ def rolling_sweep(panel: DataFrame, widths: range = range(1, 22)) -> DataFrame:
     table = fit_counts(rolled, "sports_videos", models, exposure="videos")
     return table.filter(F.col("term") == F.col("model")).select(
         F.substring_index("model", "_", -1).cast("int").alias("rolling_window"),
-        "coef", F.col("z").alias("z_value"), "converged",
+        "coef", F.col("z").alias("z_value"), "n", "converged", "score",
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 from trendlens.functions import fixed, prompts
+from trendlens.operators.countreg import Category
+from trendlens.plans import models, roundtrips
 from trendlens.sources.views import CORPUS_TERMS, EVENT_DAYS, JSON_SHAPES, LINE_SHAPES, REGION_CODES
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
@@ -232,6 +234,41 @@ _CELLS = f"""{TRAIN}, predicted AS (
 
 _KEYWORD_REASON = "'keyword rule' AS reason"
 
+_LISTED = list(dict.fromkeys(fixed.GAMES_STEMS + fixed.SPORT_TERMS))
+_TERM = f"([{', '.join(_text(t) for t in _LISTED)}])[doc_id // 2 % {len(_LISTED)} + 1]"
+_TERMED = f"""SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN text ELSE 'x' || CASE doc_id % 3 WHEN 0 THEN upper({_TERM})
+    WHEN 1 THEN upper(substr({_TERM}, 1, 1)) || substr({_TERM}, 2) ELSE {_TERM} END || 'x ' || text END AS text FROM documents"""
+
+_KNOWN_PARTS = f"""WITH {VIDEOS}, known AS (
+  SELECT video_id, country_code FROM videos QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {ORDER}) = 1),
+parts AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN -p_partkey ELSE p_partkey END AS video_id, p_name FROM part)"""
+
+
+def _fit_sql(*names: str) -> str:
+    """The terms of the named models, which of them are zero throughout, and that their equations hold."""
+    arms = []
+    for name in names:
+        def arm(term: str, zero: str, source: str = "p", model: str = name) -> None:
+            arms.append(f"SELECT '{model}' AS model, {term} AS term, {zero} AS dropped FROM {source}")
+
+        def category(c: str) -> str:
+            return f"(SELECT DISTINCT {c} FROM p WHERE {c} > (SELECT min({c}) FROM p))"
+
+        arm("'Intercept'", "FALSE", "(SELECT 1)")
+        for term in models.MODELS[name]:
+            if isinstance(term, str):
+                arm(f"'{term}'", f"sum(abs({term})) = 0")
+            elif isinstance(term, Category):
+                arm(f"'C({term.column})[T.' || {term.column} || ']'", "FALSE", category(term.column))
+            else:
+                c, x = term.category.column, term.number
+                arm(f"'{x}'", f"sum(abs({x})) = 0")
+                arm(f"'C({c})[T.' || {c} || ']'", "FALSE", category(c))
+                arm(f"'C({c})[T.' || {c} || ']:{x}'", f"sum(abs({x})) = 0", f"p WHERE {c} > (SELECT min({c}) FROM p) GROUP BY {c}")
+    return f"""{FULL}, p AS (SELECT *, summer_during + winter_during AS olympic_period FROM full_panel),
+terms AS ({' UNION '.join(arms)})
+SELECT model, term, (SELECT count(*) FROM p) AS n, dropped, TRUE AS converged, CAST(0 AS DOUBLE) AS score FROM terms"""
+
 ORACLE = {
     "panel_published_nodup": TRIMMED + ROLLUP.format(source="trimmed"),
     "panel_published_dup": _dated("pub_day") + ROLLUP.format(source="dated"),
@@ -301,7 +338,9 @@ SELECT page_id, url FROM pages WHERE regexp_matches(url || ' ' || html, {_terms(
     "games_pages": f"""
 SELECT tab, count(*) AS scanned, count(*) FILTER (regexp_matches(text, {_terms(fixed.GAMES_STEMS)}, 'i')) AS games,
        count(*) FILTER (regexp_matches(text, {_terms(fixed.SPORT_TERMS)}, 'i')) AS sport
-FROM (SELECT 'documents' AS tab, text FROM documents UNION ALL SELECT 'pages', html FROM pages) GROUP BY tab""",
+FROM (SELECT 'documents' AS tab, text FROM documents UNION ALL SELECT 'pages', html FROM pages
+      UNION ALL SELECT 'termed', text FROM ({_TERMED})) GROUP BY tab""",
+    "sport_documents": f"SELECT doc_id, lang FROM ({_TERMED}) WHERE regexp_matches(text, {_terms(fixed.SPORT_TERMS)}, 'i')",
     "capped_candidates": f"""WITH {CORPUS}, capped AS (
   SELECT * FROM corpus WHERE regexp_matches(concat_ws(' ', title, tags, description), {_terms(CORPUS_TERMS)}, 'i')
   QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY doc_id) <= 60)
@@ -309,13 +348,13 @@ SELECT doc_id, country_code FROM capped QUALIFY row_number() OVER (ORDER BY {_md
     "first_per_country": f"""WITH {VIDEOS}
 SELECT n_name AS country_code, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM videos
 QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY {ORDER}) <= 200""",
-    "country_lookup": f"""WITH {VIDEOS}, known AS (
-  SELECT video_id, country_code FROM videos WHERE predicted_label = 'olympic'
-  QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {ORDER}) = 1)
-SELECT p_partkey AS video_id, p_name, coalesce(country_code, 'XX') AS country_code
-FROM part LEFT JOIN known ON p_partkey = video_id""",
+    "country_lookup": f"""{_KNOWN_PARTS}
+SELECT p.video_id, p_name, coalesce(country_code, 'XX') AS country_code FROM parts p LEFT JOIN known USING (video_id)""",
+    "lookup_metrics": f"""{_KNOWN_PARTS}
+SELECT count(*) AS candidates, count(country_code) AS assigned, (SELECT count(*) FROM known) AS mapping
+FROM parts LEFT JOIN known USING (video_id)""",
     "country_lookup_fallback": f"""WITH {CORPUS}, signed AS (SELECT *, {SIG} AS sig FROM corpus),
-known AS (SELECT * FROM signed WHERE doc_id IN (SELECT doc_id FROM labels)),
+known AS (SELECT * FROM signed WHERE doc_id % 4 <> 3),
 by_id AS (SELECT video_id, country_code FROM known QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY doc_id) = 1),
 by_sig AS (SELECT sig, country_code FROM known QUALIFY row_number() OVER (PARTITION BY sig ORDER BY doc_id) = 1),
 lost AS (SELECT doc_id, sig, CASE WHEN doc_id % 2 = 1 THEN 'lost-' || video_id ELSE video_id END AS video_id FROM signed)
@@ -337,7 +376,8 @@ FROM documents QUALIFY "round" <= 100""",
     "stratified_split": f"""{TRAIN}
 SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {_md5(42)}, doc_id)
        <= floor(count(*) OVER (PARTITION BY label) * 0.2 + 0.5) AS is_test FROM train""",
-    "shard": """SELECT doc_id AS "index", lang AS country_code FROM documents WHERE doc_id BETWEEN 100 AND 299""",
+    "shard": f"""{TRAIN} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS "index", doc_id, country_code FROM train
+QUALIFY "index" BETWEEN 30 AND 129""",
     "labelled_union": """
 SELECT doc_id, lang AS country_code, CAST(NULL AS INTEGER) AS quality, CAST(NULL AS INTEGER) AS toxic FROM documents
 UNION ALL SELECT doc_id, NULL, quality, toxic FROM labels
@@ -350,7 +390,7 @@ SELECT count(*) AS scanned, count(*) FILTER (regexp_matches({CORPUS_ALL}, {_term
 SELECT doc_id,
   replace(replace({_text(prompts.SLOT_TEMPLATE)}, '<<title>>', replace(title, chr(10), ' ')),
           '<<tags>>', replace(description, chr(10), ' ')) AS slot_prompt,
-  {_text(prompts.EXAMPLES)} || 'Title: ' || substr(title, 1, 800) || chr(10) || 'Tags: ' || substr(description, 1, 400)
+  {_text(prompts.EXAMPLES)} || chr(10) || 'Title: ' || substr(title, 1, 800) || chr(10) || 'Tags: ' || substr(description, 1, 400)
   || chr(10) || 'Description: ' || substr(description, 1, 800) || chr(10) || chr(10) || {_text(fixed.LINE_FORMAT)}
   AS line_prompt FROM corpus""",
     "parsed_json": f"{_JSON} SELECT doc_id, label, reason FROM answers",
@@ -360,28 +400,26 @@ SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'non_sport' ELSE label END AS lab
        CASE WHEN l.doc_id IS NULL THEN 'generation_failed' ELSE reason END AS reason
 FROM answers LEFT JOIN labels l USING (doc_id)""",
     "rule_labels": f"""
-SELECT page_id, CASE WHEN regexp_matches(url || ' ' || html, {_terms(fixed.GAMES_STEMS)}, 'i') THEN 'olympic'
-                     WHEN regexp_matches(url || ' ' || html, {_terms(fixed.SPORT_TERMS)}, 'i') THEN 'other_sport'
-                     ELSE 'non_sport' END AS label, {_KEYWORD_REASON} FROM pages""",
+SELECT doc_id, CASE WHEN regexp_matches(text, {_terms(fixed.GAMES_STEMS)}, 'i') THEN 'olympic'
+                    WHEN regexp_matches(text, {_terms(fixed.SPORT_TERMS)}, 'i') THEN 'other_sport'
+                    ELSE 'non_sport' END AS label, {_KEYWORD_REASON} FROM ({_TERMED})""",
     "incremental_label": f"""
 SELECT doc_id, lang AS country_code, CASE WHEN regexp_matches(text, {_terms(CORPUS_TERMS)}, 'i')
        THEN 'other_sport' ELSE 'non_sport' END AS label, {_KEYWORD_REASON} FROM documents""",
     "incremental_candidates": f"""
 SELECT doc_id, lang AS country_code FROM documents WHERE regexp_matches(text, {_terms(CORPUS_TERMS)}, 'i')""",
-    "incremental_lookup": f"""WITH {VIDEOS}, known AS (
-  SELECT video_id, country_code FROM videos WHERE predicted_label = 'olympic'
-  QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {ORDER}) = 1)
-SELECT coalesce(country_code, 'XX') AS country_code, count(*) AS n
-FROM lineitem LEFT JOIN known ON l_partkey = video_id GROUP BY 1""",
+    "incremental_lookup": f"""{_KNOWN_PARTS}
+SELECT coalesce(country_code, 'XX') AS country_code, count(*) AS n FROM lineitem
+LEFT JOIN known ON CASE WHEN l_partkey % 5 = 0 THEN -l_partkey ELSE l_partkey END = video_id GROUP BY 1""",
     "dedup_train": f"""{TRAIN} SELECT doc_id, label FROM train
-QUALIFY row_number() OVER (PARTITION BY {_strip('title')} ORDER BY doc_id) = 1""",
+QUALIFY row_number() OVER (PARTITION BY doc_id % 7, {_strip("substr(title, 1, 1)")}, doc_id % 3 ORDER BY doc_id) = 1""",
     "token_counts": f"""WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
 SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS distinct_tokens FROM words GROUP BY doc_id""",
     "ngram_vocab": f"""{_GRAMS}
 SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM grams GROUP BY term
 HAVING count(DISTINCT doc_id) <= 0.98 * (SELECT count(*) FROM train) ORDER BY cf DESC, term LIMIT 80000""",
-    "tfidf_terms": f"""{TRAIN}, words AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM train),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+    "tfidf_terms": f"""{_GRAMS},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
 vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term
           HAVING count(*) <= 0.98 * (SELECT count(*) FROM train) ORDER BY cf DESC, term LIMIT 80000),
 raw AS (SELECT doc_id, term, tf, tf * (ln(((SELECT count(*) FROM train) + 1) / (df + 1)) + 1) AS x
@@ -415,4 +453,20 @@ UNION ALL
 SELECT 'C(country_code)[T.' || c.country_code || ']', round(ln(c.m) - ln(r.m), 6), round(sqrt(c.v0 + r.v0), 6),
        round(sqrt(c.v0 / (1 - 1 / c.n) ** 2 + r.v3), 6)
 FROM cells c, ref r WHERE c.country_code <> r.country_code""",
+    "nb_base": _fit_sql("base"),
+    "nb_trend": _fit_sql("trend"),
+    "nb_season": _fit_sql("season"),
+    "nb_hetero": _fit_sql("hetero"),
+    "nb_pre_post": _fit_sql("pre_post"),
+    "nb_medal_compare": f"SELECT * FROM ({_fit_sql('medal_count', 'medal_score')}) WHERE model = term",
+    "nb_rolling_sweep": f"""{FULL} SELECT CAST(w AS INTEGER) AS rolling_window, count(*) AS n, TRUE AS converged,
+  CAST(0 AS DOUBLE) AS score FROM full_panel, range(1, 22) AS r(w) GROUP BY w""",
+    "classifier_fit": f"""{TRAIN}
+SELECT label, CAST(floor(CASE label WHEN 'olympic' THEN 400 ELSE count(*) END * 0.2 + 0.5) AS BIGINT) AS n, TRUE AS converged,
+       CAST(0 AS DOUBLE) AS gradient FROM train GROUP BY label""",
+    "medal_file": f"""WITH {MEDALS}
+SELECT date_clean, country_code, medal_code, count(*) AS n
+FROM (SELECT * FROM summer_medals UNION ALL SELECT * FROM winter_medals) GROUP BY ALL""",
+    "appended_answers": f"WITH {_shape(JSON_SHAPES)} SELECT doc_id AS \"index\", sha1(raw_resp) AS raw_sha1 FROM shaped",
+    **roundtrips.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,9 @@ from trendlens.functions.values import country_or, mapped, olympic_flag, replace
 from trendlens.operators import classifier, countreg, dedupe, evaluation, features, labelling, lookups
 from trendlens.operators import metrics, ranking, rollup, sampling, windows
 from trendlens.operators.events import event_bars, event_line, span
-from trendlens.plans import candidates, models, panel, training
+from trendlens.plans import candidates, models, panel, roundtrips, training
 from trendlens.session import scratch_dir, settle, spread
-from trendlens.sources import records, views
+from trendlens.sources import records, sinks, views
 from trendlens.sources.views import CORPUS_TERMS, ORDER, REGION_CODES
 from trendlens.streaming import incremental
 
@@ -185,8 +185,9 @@ def sport_pages(spark, sf):
 
 
 def games_pages(spark, sf):
-    """Both fixed lists over whole documents and pages, matches counted per table."""
+    """Both fixed lists over whole documents, as they are and with terms put in, and pages, matches counted per table."""
     docs = spread(views.table(spark, sf, "documents", "text")).select(F.lit("documents").alias("tab"), "text")
+    docs = docs.unionByName(views.termed(spark, sf).select(F.lit("termed").alias("tab"), "text"))
     pages = spread(views.table(spark, sf, "pages", "html")).select(F.lit("pages").alias("tab"), F.col("html").alias("text"))
     flagged = docs.unionByName(pages).select(
         "tab", has_keyword(F.col("text"), fixed.GAMES_STEMS).alias("games"),
@@ -198,6 +199,11 @@ def games_pages(spark, sf):
     )
 
 
+def sport_documents(spark, sf):
+    """The full multilingual term list over documents, half of which have a term."""
+    return candidates.keyword_candidates(views.termed(spark, sf), fixed.SPORT_TERMS, ["text"]).select("doc_id", "lang")
+
+
 def capped_candidates(spark, sf):
     found = candidates.capped_candidates(
         views.corpus(spark, sf), ["doc_id"], ["doc_id"], CORPUS_TERMS, ["title", "tags", "description"],
@@ -212,16 +218,14 @@ def first_per_country(spark, sf):
 
 
 def country_lookup(spark, sf):
-    """First country of each part among olympic records, default for parts without one."""
-    known = views.videos(spark, sf).filter(F.col("predicted_label") == "olympic")
-    parts = views.table(spark, sf, "part").select(F.col("p_partkey").alias("video_id"), "p_name")
-    return lookups.lookup_country(parts, known, ORDER)
+    """First country of each part among all records, default for parts without one."""
+    return lookups.lookup_country(views.candidate_parts(spark, sf), views.known_parts(spark, sf), ORDER)
 
 
 def country_lookup_fallback(spark, sf):
     """Every second record has an id that is not known; its signature may be."""
     docs = views.corpus(spark, sf)
-    known = docs.join(views.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    known = docs.filter("doc_id % 4 != 3")
     lost = docs.withColumn("video_id", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("lost-"), "video_id"))
                            .otherwise(F.col("video_id")))
     return lookups.lookup_country_or_signature(lost, known, ["doc_id"]).select("doc_id", "country_code")
@@ -233,12 +237,13 @@ def negatives_anti(spark, sf):
 
 
 def sampled_pos(spark, sf):
-    rows = settle(_candidates(spark, sf))
+    rows = settle(_candidates(spark, sf).select("doc_id", "country_code"))
     return sampling.sample_per_country(rows, ["doc_id"], 50).select("doc_id", "country_code")
 
 
 def sampled_neg(spark, sf):
-    rest = lookups.exclude_signed(views.corpus(spark, sf), settle(_candidates(spark, sf)))
+    taken = settle(_candidates(spark, sf).select("title", "channelTitle", "publish_time"))
+    rest = lookups.exclude_signed(views.corpus(spark, sf), taken)
     return sampling.sample_per_country(rest, ["doc_id"], 50).select("doc_id", "country_code")
 
 
@@ -271,9 +276,10 @@ def stratified_split(spark, sf):
 
 
 def shard(spark, sf):
-    """Rows 100 … 299 by position."""
-    placed = views.corpus(spark, sf).withColumn("ingest_seq", F.col("doc_id"))
-    return records.shard(placed, 100, 200).select(F.col("ingest_seq").alias("index"), "country_code")
+    """Rows 30 … 129 of the labelled documents by position, whatever their ids."""
+    rows = views.train(spark, sf).select("doc_id", "country_code")
+    placed = ranking.with_position(rows, ["doc_id"], "ingest_seq")
+    return records.shard(placed, 30, 100).select(F.col("ingest_seq").alias("index"), "doc_id", "country_code")
 
 
 def labelled_union(spark, sf):
@@ -319,9 +325,9 @@ def failed_answers(spark, sf):
 
 
 def rule_labels(spark, sf):
-    """The default rule labeller over whole pages, answers parsed back."""
-    pages = views.table(spark, sf, "pages").withColumn("raw_resp", labelling.rule_answer(["url", "html"]))
-    return labelling.with_labels(pages).select("page_id", "label", "reason")
+    """The default rule labeller over whole documents, half of which have a listed term, answers parsed back."""
+    docs = views.termed(spark, sf).withColumn("raw_resp", labelling.rule_answer(["text"]))
+    return labelling.with_labels(docs).select("doc_id", "label", "reason")
 
 
 def _stream_folder(spark, sf, job):
@@ -340,9 +346,9 @@ def incremental_candidates(spark, sf):
 def incremental_lookup(spark, sf):
     """A stream of line items joined with the static table of each part's first country."""
     folder = _stream_folder(spark, sf, "lookup")
-    known = views.videos(spark, sf).filter(F.col("predicted_label") == "olympic")
-    known = settle(lookups.first_seen(known, "video_id", "country_code", ORDER))
-    items = incremental.record_stream(spark, sf, "lineitem.parquet").select(F.col("l_partkey").alias("video_id"))
+    known = settle(lookups.first_seen(views.known_parts(spark, sf), "video_id", "country_code", ORDER))
+    key = F.when(F.col("l_partkey") % 5 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    items = incremental.record_stream(spark, sf, "lineitem.parquet").select(key.alias("video_id"))
     step = incremental.lookup_step(known, "video_id", "country_code", fixed.NO_COUNTRY)
     incremental.run_once(items, f"{folder}/state", f"{folder}/out", step)
     return spark.read.parquet(f"{folder}/out").groupBy("country_code").agg(F.count(F.lit(1)).alias("n"))
@@ -363,8 +369,7 @@ def incremental_label(spark, sf):
 # ---- features, classifiers, evaluation ----------------------------------------
 
 def dedup_train(spark, sf):
-    return training.training_rows(views.train(spark, sf).drop("video_id").withColumn("video_id", F.lit("")), ["doc_id"]
-                                  ).select("doc_id", "label")
+    return training.training_rows(views.dirty_train(spark, sf), ["doc_id"]).select("doc_id", "label")
 
 
 def _train_text(spark, sf):
@@ -383,16 +388,21 @@ def ngram_vocab(spark, sf):
 
 
 def tfidf_terms(spark, sf):
-    return _rounded(features.tfidf(_train_text(spark, sf), "doc_id", "text", (1, 1)), "weight")
+    return _rounded(features.tfidf(_train_text(spark, sf), "doc_id", "text"), "weight")
 
 
-@lru_cache(maxsize=4)
 def _text_model(spark, sf, split_first=False):
-    """Trained once per session and folder; the queries below look at it from several sides."""
     return training.train_text_classifier(_train_text(spark, sf).select("doc_id", "label", "text"), ["doc_id"],
                                           split_first=split_first)
 
 
+def classifier_fit(spark, sf):
+    """Validation rows per class, whether the fit settled, and what is left of its gradient."""
+    _, model, valid = _text_model(spark, sf)
+    return valid.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumns({
+        "converged": F.lit(model.converged), "gradient": F.round(F.lit(model.gradient), DIGITS)})
+
+
 def classifier_report(spark, sf):
     _, _, valid = _text_model(spark, sf)
     return evaluation.classification_report(valid, "label", "predicted_label")
@@ -416,6 +426,9 @@ def top_features(spark, sf):
 def scored_labels(spark, sf):
     """Every document labelled by a model trained on the labelled ones."""
     feats, model, _ = _text_model(spark, sf)
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(model, path)
+    model = sinks.load_model(path)
     docs = views.corpus(spark, sf).withColumn("text", joined_text(["title", "tags", "description"]))
     return classifier.score(docs.select("doc_id", "text"), feats, model).select("doc_id", "predicted_label")
 
@@ -455,16 +468,17 @@ def nb_single_factor(spark, sf):
 
 def _nb(*names: str):
     def run(spark, sf):
-        return models.fit(_full(spark, sf), *names)
+        return models.settled(models.fit(_full(spark, sf), *names))
     return run
 
 
 def nb_medal_compare(spark, sf):
-    return models.compare_medals(_full(spark, sf))
+    return models.settled(models.compare_medals(_full(spark, sf)))
 
 
 def nb_rolling_sweep(spark, sf):
-    return models.rolling_sweep(_full(spark, sf))
+    return models.rolling_sweep(_full(spark, sf)).select(
+        "rolling_window", "n", "converged", F.round("score", DIGITS).alias("score"))
 
 
 _summer_line, _summer_bars = _event("summer")
@@ -504,6 +518,7 @@ QUERIES = {
     "keyword_candidates": keyword_candidates,
     "sport_pages": sport_pages,
     "games_pages": games_pages,
+    "sport_documents": sport_documents,
     "capped_candidates": capped_candidates,
     "first_per_country": first_per_country,
     "country_lookup": country_lookup,
@@ -533,6 +548,7 @@ QUERIES = {
     "token_counts": token_counts,
     "ngram_vocab": ngram_vocab,
     "tfidf_terms": tfidf_terms,
+    "classifier_fit": classifier_fit,
     "classifier_report": classifier_report,
     "classifier_report_split_first": classifier_report_split_first,
     "classifier_confusion": classifier_confusion,
@@ -549,4 +565,5 @@ QUERIES = {
     "nb_pre_post": _nb("pre_post"),
     "nb_medal_compare": nb_medal_compare,
     "nb_rolling_sweep": nb_rolling_sweep,
+    **roundtrips.QUERIES,
 }

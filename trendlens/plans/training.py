@@ -22,28 +22,23 @@ def training_rows(labelled: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """A training set is few bytes but many n-grams: use all cores, and read it once."""
-    return settle(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism))
-
-
 def train_text_classifier(
     rows: DataFrame, key: list[str], rare: str = "olympic", target: int = 400, split_first: bool = False,
-    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 300,
+    test_fraction: float = 0.2, seed: int = 42, max_iter: int = 10_000,
 ) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     """Fitted features, fitted classifier, and the scored validation rows.
 
     By default the rare class is resampled and the features are fitted before
     the split, so copies of a row can be on both sides; ``split_first`` keeps
-    validation rows out of both.
+    validation rows out of both. The classifier says whether it has ``converged``.
     """
     if split_first:
         parts = stratified_split(rows, "label", key, test_fraction, seed)
-        train = _spread(resample_class(parts.filter(~F.col("is_test")), "label", rare, key, target, seed))
+        train = settle(resample_class(parts.filter(~F.col("is_test")), "label", rare, key, target, seed))
         features = fit_text_features(train)
         valid = parts.filter("is_test")
     else:
-        grown = _spread(resample_class(rows, "label", rare, key, target, seed))
+        grown = settle(resample_class(rows, "label", rare, key, target, seed))
         features = fit_text_features(grown)
         parts = stratified_split(grown, "label", [*key, "draw"], test_fraction, seed)
         train, valid = parts.filter(~F.col("is_test")), parts.filter("is_test")

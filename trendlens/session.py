@@ -110,33 +110,33 @@ def attach_small(
     return join_hot(left, right, on, how)
 
 
-HOT_ROWS = 1_000_000  # a key with more rows than this is split
-MAX_HOT = 1_000  # the most frequent ones; any other key holds less than a thousandth of the rows
-SALTS = 256
+HOT_ROWS = 1_000_000  # what one task joins with ease: a key with no more rows is never split
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Left, inner or anti join whose left side may have hot keys (null among them).
 
     AQE cannot split a join partition when one side is an aggregate on the
-    join key, as dimensions are. So the left keys are counted first; rows of
-    hot keys are spread over salts by the partition they come from, and the
-    right rows of those keys are repeated once per salt. Without hot keys it
-    is a plain join.
+    join key, as dimensions are. So the left keys are counted first. A key is hot if it
+    has more rows than a task's even share, so there are fewer hot keys than tasks. Its rows
+    are spread over as many salts as it has shares, and its right row is repeated once per salt.
+    Without hot keys it is a plain join.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
-    keys = counts.orderBy(F.desc("_n"), *on).limit(MAX_HOT).select(*on)
-    found = keys.toArrow()
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    counts = settle(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(HOT_ROWS, -(-total // tasks))
+    keys = counts.filter(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).alias("_salts"))
+    found = keys.toArrow()  # fewer than tasks
     if not found.num_rows:
         return left.join(right, on, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, keys.schema).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(spark.createDataFrame(found, keys.schema))
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()
-    spread_over = F.pmod(F.spark_partition_id(), F.lit(SALTS))
-    salted = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread_over).otherwise(0)
-    ).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    salts = F.when(no_key, F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts)).drop("_salts")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1)
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from trendlens.session import attach_small
 
 _POSITION = ["source_file", "source_block", "source_row"]
 
-RECORD_TYPES = {"publishedAt": "timestamp", "trending_date": "timestamp"}
+RECORD_TYPES = {"publishedAt": "timestamp_ntz", "trending_date": "timestamp_ntz"}  # the time as written, no zone
 MEDAL_SCHEMA = {"medal_date": "string", "country_code": "string", "medal_code": "int"}
 
 
@@ -22,9 +23,16 @@ def _csv(spark: SparkSession, paths: str | list[str], multiline: bool) -> DataFr
     return spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(paths)
 
 
-def _list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths only: the files themselves are not opened."""
-    return sorted(r[0] for r in spark.read.format("binaryFile").load(pattern).select("path").collect())
+def _headers(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
+    """Files by header line, from one scan: the first line of each file's first block."""
+    lines = spark.read.text(pattern).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for r in first.orderBy("path").collect():  # one short row per file
+        by_header.setdefault(r["header"], []).append(unquote(r["path"]))
+    return by_header
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -44,28 +52,27 @@ def land_csv(
 ) -> None:
     """Read per-country CSV files once and write them as parquet.
 
-    The country is the file name up to its first underscore. Files may differ
+    The country is the file name up to its first underscore, also where a file has a
+    country_code of its own. Files may differ
     in their columns: those with the same header share one scan. Each row
     keeps where it came from, which ``read_merged`` turns into a gapless
     ``ingest_seq``. ``multiline`` allows line breaks in quoted cells, at the
     price that one file is one task; bring many files per country.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in _list_files(spark, pattern):
-        by_header.setdefault(tuple(_csv(spark, path, multiline).columns), []).append(path)
     types = RECORD_TYPES if types is None else types
     tables = []
-    for paths in by_header.values():
+    for paths in _headers(spark, pattern).values():
         raw = _csv(spark, paths, multiline)
+        own = [c for c in raw.columns if c.lower() != "country_code"]
         placed = raw.select(
-            *[F.col(f"`{c}`") for c in raw.columns],
+            *[F.col(f"`{c}`") for c in own],
             F.regexp_extract(F.col("_metadata.file_name"), "^([^_]+)_", 1).alias("country_code"),
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("source_block"),
             F.monotonically_increasing_id().alias("source_row"),
         )
-        values = missing_to_null(placed.select(raw.columns + ["country_code", *_POSITION]))
-        tables.append(values.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in raw.columns}))
+        values = missing_to_null(placed.select(own + ["country_code", *_POSITION]))
+        tables.append(values.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in own}))
     union_all(tables).write.mode("overwrite").parquet(out)
 
 
@@ -84,8 +91,7 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     starts = blocks.select(
         "source_file", "source_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
     )
-    # one short row per input split: a million of them are 128 TB of default-sized splits
-    placed = attach_small(rows, starts, ["source_file", "source_block"], "inner", max_rows=1_000_000)
+    placed = attach_small(rows, starts, ["source_file", "source_block"], "inner")
     seq = (F.col("_start") + F.col("source_row") - F.col("_first")).alias("ingest_seq")
     return placed.select(*[c for c in rows.columns if c not in _POSITION], seq)
 

@@ -9,6 +9,10 @@ from trendlens.functions import fixed
 from trendlens.operators.sampling import sample_rows
 
 
+# Cells are written as they are: quotes doubled, blanks at either end kept.
+AS_IS = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite a parquet table; no rows still leave a readable schema."""
     writer = df.write.mode("overwrite")
@@ -18,7 +22,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def append_answers(df: DataFrame, path: str) -> None:
     """Append answer rows as CSV with the fixed columns, those that exist, in fixed order."""
     columns = [c for c in fixed.ANSWER_COLUMNS if c in df.columns]
-    df.select(columns).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    df.select(columns).write.mode("append").option("header", True).options(**AS_IS).csv(path)
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.functions import fixed
 from trendlens.session import spread
 
 # A row of the videos view is identified by all of these together.
@@ -89,6 +90,38 @@ def train(spark: SparkSession, sf: str) -> DataFrame:
     return corpus(spark, sf).join(labels, "doc_id")
 
 
+def known_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """All records, as the lookup table of countries is made from."""
+    return videos(spark, sf)
+
+
+def candidate_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidates; every fifth has a key that no record has."""
+    key = F.when(F.col("p_partkey") % 5 == 0, -F.col("p_partkey")).otherwise(F.col("p_partkey"))
+    return table(spark, sf, "part").select(key.alias("video_id"), "p_name")
+
+
+def termed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, half of them with one term of the fixed lists in front, each term in three spellings of case."""
+    terms = list(dict.fromkeys(fixed.GAMES_STEMS + fixed.SPORT_TERMS))
+    listed = F.array(*[F.lit(t) for t in terms])
+    at = (F.floor(F.col("doc_id") / 2) % len(terms)).cast("int")
+    term = F.get(listed, at)
+    spelt = F.when(F.col("doc_id") % 3 == 0, F.upper(term)).when(F.col("doc_id") % 3 == 1, F.initcap(term)).otherwise(term)
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x"), spelt, F.lit("x "), F.col("text"))).otherwise(F.col("text"))
+    return spread(table(spark, sf, "documents", "doc_id", "text", "lang")).select("doc_id", "lang", text.alias("text"))
+
+
+def dirty_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents as people label: keys with blanks, in few values, labels in any case."""
+    rows = train(spark, sf)
+    return rows.withColumns({
+        "video_id": F.concat(F.lit(" v"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, " ").otherwise("\t")),
+        "title": F.concat(F.substring("title", 1, 1), F.lit(" ")), "tags": F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")),
+        "label": F.when(F.col("doc_id") % 3 == 0, F.upper("label")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), F.initcap("label"), F.lit("\n")))
+        .otherwise(F.col("label"))})
+
+
 def _said(spark: SparkSession, sf: str) -> DataFrame:
     label = F.element_at(F.array(F.lit("olympic"), F.lit("other_sport"), F.lit("non_sport")),
                          (F.col("doc_id") % 3 + 1).cast("int"))

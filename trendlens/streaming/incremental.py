@@ -11,6 +11,7 @@ from trendlens.functions import fixed
 from trendlens.functions.text import has_keyword, joined_text
 from trendlens.session import join_hot
 from trendlens.sources.records import existing
+from trendlens.sources.sinks import AS_IS
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -41,7 +42,7 @@ def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = Non
         target = f"{out}/batch={batch_id}"
         if csv:
             writer = existing(done, fixed.ANSWER_COLUMNS).write.mode("overwrite").option("header", True)
-            writer.option("escape", '"').csv(target)
+            writer.options(**AS_IS).csv(target)
         else:
             done.write.mode("overwrite").parquet(target)
 
