@@ -42,6 +42,11 @@ CLASS_BITS = 32
 SHAPE_TYPE = "shape struct<n: bigint, held: bigint, p0: bigint, p1: bigint, p2: bigint, p3: bigint>"
 
 
+#: A pair that meets in several lists is taken in the first of them. Of its earlier entries a document's entry in a list
+#: carries as many as this; more would only save more repetitions of a pair.
+KEPT = 48
+
+
 def shape_of(items: np.ndarray, level: np.ndarray) -> dict[str, int]:
     odd = np.bincount((items & np.uint64(255)).astype(np.int64), minlength=256) & 1
     places = np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
@@ -236,17 +241,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, fre
     open_lists = settle(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                         .where("lo != hi").select("token"))
     entries = settle(placed.join(open_lists, "token"))
-    rare = entries.where(F.col("size") <= frequent).select(F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc", "shape", "component")
-    common = entries.where(F.col("size") > frequent).groupBy("doc", "shape", "component").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    two = F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> struct(x AS k1, y AS k2))))")
-    combined = common.select(F.explode(two).alias("k"), "doc", "shape", "component").select(
-        "k.k1", "k.k2", "doc", "shape", "component")
-    keyed = settle(rare.unionByName(combined))
-    left = keyed.select("k1", "k2", F.col("doc").alias("a"), F.col("shape").alias("sa"), F.col("component").alias("ca"))
-    right = keyed.select("k1", "k2", F.col("doc").alias("b"), F.col("shape").alias("sb"), F.col("component").alias("cb"))
-    rest = left.join(right, ["k1", "k2"]).where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("sa", "sb", percent))
-    more = _verify(settle(rest.select("a", "b").distinct()), sets, percent)
+    own_lists = entries.groupBy("doc", "shape", "component").agg(
+        F.array_sort(F.collect_set(F.when(F.col("size") <= frequent, F.col("token")))).alias("rare"),
+        F.array_sort(F.collect_set(F.when(F.col("size") > frequent, F.col("token")))).alias("common"))
+    one = F.expr(f"transform(rare, (x, i) -> struct(x AS k1, 0L AS k2, slice(rare, 1, least(i, {KEPT})) AS earlier))")
+    two = F.expr(f"""flatten(transform(common, (x, i) -> transform(slice(common, i + 2, size(common)), (y, j) -> struct(
+        x AS k1, y AS k2, slice(concat(slice(common, 1, i), slice(common, i + 2, j)), 1, {KEPT}) AS earlier))))""")
+    keyed = settle(own_lists.select(F.explode(F.concat(one, two)).alias("k"), "doc", "shape", "component").select(
+        "k.k1", "k.k2", "k.earlier", "doc", "shape", "component"))
+
+    def side(x: str) -> DataFrame:
+        return keyed.select("k1", "k2", *[F.col(c).alias(f"{c}_{x}") for c in ("earlier", "doc", "shape", "component")])
+
+    rest = side("a").join(side("b"), ["k1", "k2"]).where(
+        (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
+        & _alike("shape_a", "shape_b", percent) & ~F.arrays_overlap("earlier_a", "earlier_b"))
+    rest = rest.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    more = _verify(settle(rest.distinct()), sets, percent)
 
     whole = components(links.unionByName(more).unionByName(same_id))
     return found.select("doc_id", "n_shingles").join(whole.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
