@@ -421,6 +421,44 @@ def test_block_tables_find_all(spark, radius, blocks):
     assert got == {(f"{a:032x}", f"{b:032x}", bin(a ^ b).count("1")) for a in prints for b in prints if bin(a ^ b).count("1") <= radius}
 
 
+@pytest.mark.parametrize("radius, blocks, flips", [(16, 6, 2), (17, 6, 2), (4, 4, 1), (9, 7, 1)])
+def test_turned_bits_find_all(spark, radius, blocks, flips):
+    random.seed(radius)
+    base = [random.getrandbits(128) for _ in range(5)]
+    prints = {b ^ sum(1 << k for k in random.sample(range(128), random.randint(0, radius))) for b in base for _ in range(12)} | {0, 2 ** 128 - 1}
+    frame = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    queries = frame.where("crc32(fingerprint) % 3 = 0").unionByName(frame.limit(3))
+    asked = {int(r.fingerprint, 16) for r in queries.collect()}
+    got = sorted((r["query"], r.found, r.distance) for r in fingerprints.within_radius(frame, queries, radius, blocks, flips).collect())
+    assert got == sorted((f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in asked for b in prints if (a ^ b).bit_count() <= radius)
+
+
+def test_op10_finds_near_copies_of_ordinary_length(spark, tmp_path):
+    random.seed(10)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for d in range(20):
+        text = random.choices(vocabulary, k=250)
+        texts[100 * d], texts[100 * d + 2] = " ".join(text), " ".join(text)  # an exact copy
+        text[random.randrange(250)] = "other"
+        texts[100 * d + 1] = " ".join(text)
+        texts[100 * d + 3] = " ".join(random.choices(vocabulary, k=250))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprints.op10_fingerprints(spark, str(tmp_path)).collect()
+    ids = {}
+    for r in rows:
+        ids.setdefault(r.fingerprint, []).append(r.doc_id)
+    value = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        if r.doc_id % 100:
+            assert r.n_near is None and r.near is None
+            continue
+        found = sorted(d for x in r.near for d in ids[x.fingerprint])
+        assert found == sorted(d for d in value if (value[d] ^ value[r.doc_id]).bit_count() <= 16) and r.n_near == len(found) - 1
+        assert all(x.distance == (int(x.fingerprint, 16) ^ value[r.doc_id]).bit_count() for x in r.near)
+        assert {r.doc_id, r.doc_id + 1, r.doc_id + 2} <= set(found)
+
+
 def test_radius_needs_more_blocks(spark):
     with pytest.raises(ValueError):
         fingerprints.within_radius(spark.createDataFrame([], "fingerprint string"), spark.createDataFrame([], "fingerprint string"), 4, 4)

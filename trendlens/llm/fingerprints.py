@@ -12,7 +12,8 @@ and a null doc_id comes after all others. A single document is its own next one.
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from collections.abc import Iterable
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from trendlens.llm.words import mix, slices, text_words, window_hashes
 from trendlens.session import settle
 
 BITS = 128
+RADIUS, BLOCKS, FLIPS = 16, 6, 2  # of op10: six tables of 21 or 22 bits, of which up to two may differ
 
 
 def simhash(texts: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -127,42 +129,85 @@ def edit_and_print(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return next_to_each_other(docs).mapInArrow(run, kind)
 
 
-def _words(fingerprint: Column) -> list[Column]:
-    """A hexadecimal fingerprint as 32-bit integers in longs."""
-    return [F.conv(F.substring(fingerprint, 8 * i + 1, 8), 16, 10).cast("long") for i in range(BITS // 32)]
+def _bits(positions: Iterable[int]) -> tuple[int, int]:
+    """The two 64-bit lanes of a fingerprint in which only these bits are set."""
+    value = sum(1 << (BITS - 1 - b) for b in positions)
+    return value >> 64, value & 0xFFFFFFFFFFFFFFFF
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+def _flips(block: range, flips: int) -> list[tuple[int, int]]:
+    return [_bits(c) for k in range(flips + 1) for c in combinations(block, k)]
+
+
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 4, flips: int = 0) -> DataFrame:
     """All pairs (query, found, distance) of distinct fingerprints within ``radius`` bits.
 
-    The bits are cut into ``blocks`` blocks, more than ``radius``. Fingerprints within the radius agree in at least
-    blocks - radius of them, so one table per choice of that many blocks, keyed by their bits, finds every pair.
+    The bits are cut into ``blocks`` blocks. A block that differs in more than ``flips`` bits uses up flips + 1 bits of the
+    radius, so of fingerprints within it at least blocks - radius // (flips + 1) blocks differ in no more. There is one table
+    per choice of that many blocks, keyed by their bits; it is asked for the query's bits and for all that come from
+    turning over up to ``flips`` bits in each of its blocks. So every pair is found; a pair is taken in its first table.
     Both inputs have a column ``fingerprint``; a null one is found by nothing.
     """
-    if blocks <= radius:
-        raise ValueError("needs more blocks than bits in the radius")
-    digits = BITS // 4
-    cuts = [digits * i // blocks for i in range(blocks + 1)]
-    tables = list(combinations(range(blocks), blocks - radius))
-
-    def keyed(rows: DataFrame, name: str) -> DataFrame:
-        parts = [F.substring("fingerprint", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in range(blocks)]
-        keys = F.array(*[F.concat(F.lit(f"{n}:"), *[parts[b] for b in table]) for n, table in enumerate(tables)])
-        return rows.where("fingerprint is not null").select("fingerprint").distinct().select(
-            F.col("fingerprint").alias(name), F.explode(keys).alias("key"))
-
-    pairs = settle(keyed(queries, "query")).join(settle(keyed(prints, "found")), "key")
-    distance = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_words(F.col("query")), _words(F.col("found"))))
-    return pairs.select("query", "found", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    agree = blocks - radius // (flips + 1)
+    if agree < 1:
+        raise ValueError("needs more blocks than bits in the radius, or more flips")
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    spans = [range(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    tables = list(combinations(range(blocks), agree))
+
+    def keyed(rows: DataFrame, name: str, probes: int) -> DataFrame:
+        def run(batches):
+            masks = [np.array(_bits(b for k in table for b in spans[k]), np.uint64) for table in tables]
+            turned = [np.bitwise_xor.reduce(np.array(list(product(*[_flips(spans[k], probes) for k in table])), np.uint64), axis=1)
+                      for table in tables]
+            earlier = [sum(1 << k for k in range(table[-1]) if k not in table) for table in tables]
+            for batch in batches:
+                lanes = np.array([_lanes(f) for f in batch.column(0).to_pylist()], np.uint64).reshape(-1, 2)
+                for n, (mask, turn) in enumerate(zip(masks, turned)):
+                    step = max(1, 100_000 // len(turn))
+                    for at in range(0, len(lanes), step):
+                        some = lanes[at: at + step]
+                        keys = ((some & mask)[:, None, :] ^ turn[None]).reshape(-1, 2).view(np.int64)
+                        own = np.repeat(some, len(turn), axis=0).view(np.int64)
+                        yield pa.RecordBatch.from_pydict({
+                            f"{name}_table": pa.array(np.full(len(keys), n, np.int32)), f"{name}_earlier": pa.array(np.full(len(keys), earlier[n])),
+                            f"{name}_k0": keys[:, 0].copy(), f"{name}_k1": keys[:, 1].copy(), f"{name}_0": own[:, 0].copy(), f"{name}_1": own[:, 1].copy()})
+
+        kind = f"{name}_table int, {name}_earlier long, {name}_k0 long, {name}_k1 long, {name}_0 long, {name}_1 long"
+        return rows.where("fingerprint is not null").select("fingerprint").distinct().mapInArrow(run, kind)
+
+    def differing(mask: tuple[int, int]) -> Column:
+        return sum(F.bit_count(F.col(f"query_{i}").bitwiseXOR(F.col(f"found_{i}")).bitwiseAND(F.lit(m - (m >> 63 << 64))))
+                   for i, m in enumerate(mask) if m)
+
+    left, right = keyed(queries, "query", flips).drop("query_earlier"), keyed(prints, "found", 0)
+    meet = differing(_bits(range(BITS))) <= radius
+    for k in ("table", "k0", "k1"):
+        meet &= F.col(f"query_{k}") == F.col(f"found_{k}")
+    for k, span in enumerate(spans[: max(t[-1] for t in tables)]):
+        meet &= (F.col("found_earlier").bitwiseAND(F.lit(1 << k)) == 0) | (differing(_bits(span)) > flips)
+    text = [F.concat(*[F.lpad(F.lower(F.hex(f"{name}_{i}")), 16, "0") for i in range(2)]).alias(name) for name in ("query", "found")]
+    return left.join(right, meet).select(*text, differing(_bits(range(BITS))).alias("distance"))
+
+
+def _lanes(fingerprint: str) -> tuple[int, int]:
+    return int(fingerprint[:16], 16), int(fingerprint[16:], 16)
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and their edited texts; for ids divisible by 100 also how many others are near."""
+    """Fingerprints of all documents and their edited texts; for ids divisible by 100 also what is near.
+
+    ``near`` has all fingerprints within RADIUS bits, the document's own first, with their distances; the documents found are the
+    rows of the result that have these fingerprints. ``n_near`` is their number, without the document itself.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = settle(edit_and_print(docs))
     queries = done.where("doc_id % 100 = 0")
     sizes = done.groupBy("fingerprint").count()
-    near = settle(within_radius(done, queries).join(sizes.withColumnRenamed("fingerprint", "found"), "found")
-                  .groupBy(F.col("query").alias("fingerprint")).agg((F.sum("count") - 1).alias("near")))
-    asked = queries.select("doc_id", "fingerprint").distinct().join(near, "fingerprint").select("doc_id", "fingerprint", F.col("near").alias("n_near"))
-    return done.join(asked, ["doc_id", "fingerprint"], "left").select(*done.columns, "n_near")
+    near = settle(within_radius(done, queries, RADIUS, BLOCKS, FLIPS).join(sizes.withColumnRenamed("fingerprint", "found"), "found")
+                  .groupBy(F.col("query").alias("fingerprint")).agg(
+                      (F.sum("count") - 1).alias("n_near"),
+                      F.transform(F.array_sort(F.collect_list(F.struct("distance", "found"))), lambda x: F.struct(
+                          x["found"].alias("fingerprint"), x["distance"].alias("distance"))).alias("near")))
+    asked = queries.select("doc_id", "fingerprint").distinct().join(near, "fingerprint").select("doc_id", "fingerprint", "n_near", "near")
+    return done.join(asked, ["doc_id", "fingerprint"], "left").select(*done.columns, "n_near", "near")
