@@ -226,6 +226,35 @@ def test_language_edges(spark):
     assert language.identify(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("label", ["", " 12 !\n", "a", "th", "e a t o", "the cat"])
+def test_little_labelled_text_wins_nothing(spark, label):
+    random.seed(5)
+    english, german = "the cat sat on mats while rain fell over old town".split(), "der hund lief weiter und das haus war alt am see".split()
+    rows = [(i, " ".join(random.choices(w, k=60)), lang, "x") for lang, w in (("en", english), ("de", german)) for i in range(100 * (lang == "de"), 40 + 100 * (lang == "de"))]
+    ids = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 5][:2]
+    got = language.identify(table(spark, rows + [(i, label, "aa", "x") for i in ids])).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id >= 100 else "en") and r.score > 0.5 for r in got if r.doc_id < 1000)
+    assert language.fit({"aa": label, "en": "the cat"})["languages"] == (["aa", "en"] if any(c.isalpha() for c in label) else ["en"])
+
+
+def test_blank_rows_do_not_displace_labelled_text(spark):
+    rows = [(i, " \n", "en", "x") for i in range(3000)] + [(3000 + i, f"the cat sat {i}", "en", "x") for i in range(10)]
+    text = language.labelled_text(table(spark, rows), language.F.lit(True), 64, 32_000)["en"]
+    assert text.count("the cat sat") == 10
+
+
+def test_costs_of_unseen_characters():
+    model = language.fit({"aa": "ab", "en": "the cat sat on the mat " * 20})
+    flat, roots = language.transition_table(model)
+    points, rows = language.code_points(["ab ba", "the"])
+    got = language.costs(language.symbol_table(model["letters"])[points].astype(np.int32), rows, model, flat, roots)
+    heavy = np.log2(460)  # characters of the longer text
+    # aa: ab, gap unseen, b, a, and one for the end; then t, h, e unseen
+    parts = language.phrases(language.symbol_table(model["letters"])[points].astype(np.int32), rows, flat, roots)
+    assert np.allclose(got[:, 0], parts[:, 0] * 6 + np.array([1, 3]) * (heavy - 6 + 6))
+    assert np.allclose(got[:, 1], parts[:, 1] * heavy + np.array([2, 0]) * 6)
+
+
 # ---------------------------------------------------------------- 6 packing
 
 def check_packing(rows, texts, size=1024):

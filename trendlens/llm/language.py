@@ -2,7 +2,9 @@
 
 For each language a suffix automaton is built over labelled text. A document is parsed from left to right into longest
 matches with the automaton; the phrases, each weighing the logarithm of the language's text, per character are the
-cross-parsing entropy, and the language with the least wins. Automata are turned into transition tables in which a
+cross-parsing entropy, and the language with the least wins. A phrase weighs no less than a symbol spelt out, and a
+character that the language's text lacks as much as the heaviest phrase and a symbol, in all languages alike: so little
+text makes no language cheap. Automata are turned into transition tables in which a
 failed match goes on from the root and counts one phrase, so that many stretches of text are parsed at once.
 
 Texts are parsed whole, in stretches of ``STRETCH`` characters of their normalised form: letters lower-cased, all else a
@@ -12,7 +14,7 @@ Learned from: at most ``sample_rows`` (about) labelled rows a language, those wi
 at most ``sample_chars`` characters of them. Memory is proportional to sample_chars times the number of languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in
-alphabetical order; without labelled rows all is ``und``; with one language the score is 1; rows with null id are never
+alphabetical order; without labelled rows all is ``und``; languages whose labelled text has no letter are never predicted; with one language the score is 1; rows with null id are never
 learned from; repeated rows get equal answers; an empty table gives no rows; other columns pass through untouched.
 """
 
@@ -38,13 +40,13 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_text(docs: DataFrame, learn: Column, sample_rows: int, sample_chars: int) -> dict[str, str]:
     """Text per language for the automata; both bounds are per language."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return {}
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample_rows / n) * (1 << 30)))])
-    chosen = rows.where(F.col("text").isNotNull() & (rank <= share[F.col("lang")]))
+    chosen = rows.where(rank <= share[F.col("lang")])
     texts: dict[str, list[tuple]] = {}
     for r in chosen.select("lang", rank.alias("rank"), F.substring("text", 1, sample_chars).alias("text")).collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
@@ -85,16 +87,19 @@ def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def fit(texts: dict[str, str]) -> dict:
-    """The symbols of letters, and each language's automaton."""
+    """The symbols of letters, and the automaton of each language that has any."""
     share: Counter = Counter()
     for text in texts.values():
         for c, n in Counter(x for x in text.lower() if x.isalpha() and len(x) == 1).items():
             share[c] += n / max(1, len(text))
     letters = [ord(c) for c, _ in sorted(share.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 5]]
-    model = {"letters": letters, "languages": list(texts), "automata": [], "sizes": []}
+    model = {"letters": letters, "languages": [], "automata": [], "sizes": []}
     table = symbol_table(letters)
-    for text in texts.values():
+    for lang, text in texts.items():
         points, _ = code_points([text])
+        if not table[points].any():
+            continue
+        model["languages"].append(lang)
         model["automata"].append(suffix_automaton(table[points].tolist()))
         model["sizes"].append(len(text))
     return model
@@ -153,6 +158,16 @@ def phrases(symbols: np.ndarray, rows: np.ndarray, table: np.ndarray, roots: np.
     return out
 
 
+def costs(symbols: np.ndarray, rows: np.ndarray, model: dict, table: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Bits of each text for each language."""
+    weight = np.log2(np.maximum(SYMBOLS, np.array(model["sizes"], float)))
+    lacks = np.ones((SYMBOLS, len(roots)), np.int64)
+    for i, (_, symbol, _, _) in enumerate(model["automata"]):
+        lacks[symbol, i] = 0
+    counts = np.array([np.bincount(symbols[a:b], minlength=SYMBOLS) for a, b in zip(rows[:-1], rows[1:])]).reshape(-1, SYMBOLS)
+    return phrases(symbols, rows, table, roots) * weight + counts @ lacks * (weight.max() - weight + np.log2(SYMBOLS))
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Add lang_pred and score to all rows of ``docs``, whose first column is the text."""
     out_type = docs.select(*docs.columns[1:], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -161,14 +176,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         table_of, classes = symbol_table(model["letters"]), char_classes()
         if model["languages"]:
             table, roots = transition_table(model)
-        weight = np.log2(np.maximum(2, np.array(model["sizes"], float)))
         for part in slices(batches, part_column, 4 << 20):
             points, rows = code_points([t or "" for t in part.column(0).to_pylist()])
             letters = np.concatenate([[0], np.cumsum(classes[points] == LETTER)])
             has = np.diff(letters[rows]) > 0
             names, score = np.full(len(has), UNKNOWN, object), np.zeros(len(has))
             if model["languages"] and has.any():
-                cost = phrases(table_of[points].astype(np.int32), rows, table, roots) * weight
+                cost = costs(table_of[points].astype(np.int32), rows, model, table, roots)
                 best = cost.argmin(axis=1)
                 least = cost.min(axis=1)
                 second = np.partition(cost, 1, axis=1)[:, 1] if len(roots) > 1 else np.full(len(has), np.inf)
