@@ -243,6 +243,22 @@ def test_blank_rows_do_not_displace_labelled_text(spark):
     assert text.count("the cat sat") == 10
 
 
+def test_learnt_rows_have_equal_shares(spark):
+    rows = [(i, chr(0x4E00 + i) * (100_000 if i % 2 else 400), "zh", "x") for i in range(40)]
+    rows += [(7, "once " * 10, "en", "x")] * 5000 + [(7, f"copy {i} of an id", "en", "x") for i in range(3000)]
+    texts = language.labelled_text(table(spark, rows), language.F.lit(True), 64, 32_000)
+    counts = Counter(texts["zh"].replace(" ", ""))
+    assert len(counts) == 40 and len(texts["zh"]) <= 32_000
+    assert {counts[chr(0x4E00 + i)] for i in range(0, 40, 2)} == {400} and {counts[chr(0x4E00 + i)] for i in range(1, 40, 2)} == {(32_000 - 39 - 20 * 400) // 20}
+    assert 30 < texts["en"].count("of an id") < 130 and texts["en"].count("once") in (0, 10)
+
+
+def test_equal_shares_are_from_anywhere():
+    assert language.equal_shares([(5, "abcdefghij"), (6, "xyz")], 8) == ["fghi", "xyz"]
+    assert language.equal_shares([(0, "ab"), (1, "cd")], 100) == ["ab", "cd"]
+    assert language.equal_shares([(9, "abcdefghij")], 4) == ["cdef"]
+
+
 def test_costs_of_unseen_characters():
     model = language.fit({"aa": "ab", "en": "the cat sat on the mat " * 20})
     flat, roots = language.transition_table(model)

@@ -10,8 +10,9 @@ failed match goes on from the root and counts one phrase, so that many stretches
 Texts are parsed whole, in stretches of ``STRETCH`` characters of their normalised form: letters lower-cased, all else a
 gap; the letters that are most frequent in the labelled text have symbols of their own, the others share four.
 
-Learned from: at most ``sample_rows`` (about) labelled rows a language, those with the smallest hash of their id, and
-at most ``sample_chars`` characters of them. Memory is proportional to sample_chars times the number of languages.
+Learned from: at most ``sample_rows`` (about) labelled rows a language, those with the smallest hash of their id and text, copies
+counting once, and at most ``sample_chars`` characters of them. Each of the rows gives an equal share, or all it has if that is
+less, from a place in its text that its hash decides. Memory is proportional to sample_chars times the number of languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in
 alphabetical order; without labelled rows all is ``und``; languages whose labelled text has no letter are never predicted; with one language the score is 1; rows with null id are never
@@ -41,16 +42,31 @@ def held_out(doc_id: Column) -> Column:
 def labelled_text(docs: DataFrame, learn: Column, sample_rows: int, sample_chars: int) -> dict[str, str]:
     """Text per language for the automata; both bounds are per language."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    digest = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("n")).collect()}  # one row per language
     if not counts:
         return {}
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample_rows / n) * (1 << 30)))])
-    chosen = rows.where(rank <= share[F.col("lang")])
+    rank = F.pmod(digest, F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, sample_rows / max(1, n)) * (1 << 30)))])
+    begin = F.pmod(F.xxhash64(digest), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
+    piece = F.col("text").substr(begin.cast("int"), F.lit(sample_chars))
+    chosen = rows.where(rank <= share[F.col("lang")]).select("lang", digest.alias("digest"), rank.alias("rank"), piece.alias("text"))
     texts: dict[str, list[tuple]] = {}
-    for r in chosen.select("lang", rank.alias("rank"), F.substring("text", 1, sample_chars).alias("text")).collect():
+    for r in chosen.dropDuplicates(["lang", "digest"]).collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
-    return {lang: " ".join(t for _, t in sorted(found))[:sample_chars] for lang, found in sorted(texts.items())}
+    return {lang: " ".join(equal_shares(sorted(found), sample_chars)) for lang, found in sorted(texts.items())}
+
+
+def equal_shares(found: list[tuple[int, str]], sample_chars: int) -> list[str]:
+    """As much of each (rank, text), alike for all that have it, as fits into ``sample_chars`` with gaps between."""
+    left, most = sample_chars - (len(found) - 1), 0
+    for n, size in enumerate(sorted(len(t) for _, t in found)):
+        most = max(left, 0) // (len(found) - n)
+        if size > most:
+            break
+        left, most = left - size, size
+    starts = [rank % (max(len(t) - most, 0) + 1) for rank, t in found]
+    return [t[a: a + most] for a, (_, t) in zip(starts, found)]
 
 
 def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
