@@ -140,12 +140,12 @@ def transition_table(model: dict) -> tuple[np.ndarray, np.ndarray]:
     parts, roots, at = [], [], 0
     for state, symbol, target, n in model["automata"]:
         lost = 2 * (at + n * SYMBOLS)  # the state after a character that the language's text does not hold
-        table = np.full((n + 1, SYMBOLS), -1, np.int64)
+        table = np.full((n + 1, SYMBOLS), -1, np.int32)
         table[state, symbol] = 2 * (at + target.astype(np.int64) * SYMBOLS)
         again = np.where(table[0] >= 0, table[0], lost)  # begin a phrase with this character
         table[0] = again
-        table = np.where(table >= 0, table, again[None, :] + 1)
-        parts.append(table.ravel().astype(np.int32))
+        np.copyto(table, again[None, :] + 1, where=table < 0)
+        parts.append(table.ravel())
         roots.append(at)
         at += (n + 1) * SYMBOLS
     return np.concatenate(parts), np.array(roots, np.int32)
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         table_of, classes = symbol_table(model["letters"]), char_classes()
         if model["languages"]:
             table, roots = transition_table(model)
-        for part in slices(batches, part_column, 4 << 20):
+        for part in slices(batches, part_column, 1 << 20):
             points, rows = code_points([t or "" for t in part.column(0).to_pylist()])
             letters = np.concatenate([[0], np.cumsum(classes[points] == LETTER)])
             has = np.diff(letters[rows]) > 0
