@@ -42,6 +42,41 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0d]+", text or "")
 
 
+def thue_morse(bits):
+    """A text whose letters follow the Thue-Morse sequence, and its mirror: sums of powers cannot tell them apart."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 11])
+def test_no_hash_takes_mirrored_texts_for_the_same(spark, bits):
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    a, b = thue_morse(bits)
+    docs = table(spark, doc_rows([a, b])).coalesce(1)
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).collect()}
+    assert [bytes(got[i].decoded).decode() for i in (0, 1)] == [a, b]
+    own = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own, special_tokens={})
+    pieces = {r.doc_id: r for r in packing.token_pieces(docs, own, P.PATTERN, 1 << 20).collect()}
+    for i, text in enumerate((a, b)):
+        assert pieces[i].ids_crc32 == zlib.crc32(np.array([*library.encode_ordinary(text), 0], "<u4").tobytes())
+    ends = [f"{a} one two three four", f"{b} one two three four"]
+    sets = jaccard.shingle_sets(pa.array(ends), 5)
+    assert not set(sets[0].tolist()) & set(sets[1].tolist())
+    prints = fingerprints.simhash(pa.array(ends))
+    assert (prints[0] != prints[1]).any()
+    around = " ".join(f"w{i}" for i in range(30))
+    cut = substrings.remove_repeats(table(spark, doc_rows([f"{around} {x} {around}" for x in (a, b)])))
+    assert {r.doc_id: r.n_removed for r in cut.collect()} == {0: 0, 1: 0}
+    words_of = [" ".join(x) for x in (a, b)]  # the same with letters as words, in windows of the whole length
+    cut = substrings.remove_repeats(table(spark, doc_rows(words_of)), 1 << bits)
+    assert {r.doc_id: r.n_removed for r in cut.collect()} == {0: 0, 1: 0}
+
+
 # ---------------------------------------------------------------- 1 encoding
 
 def test_bpe_same_as_library_and_round_trip(spark, sf):
@@ -447,7 +482,7 @@ def test_simhash_votes():
     text = "a b c d a b c e f " * 40
     _, _, _, first, hashes = fingerprints.text_words(pa.array([text]), lower=True)
     votes = np.zeros(128, int)
-    for h in fingerprints.window_hashes(hashes, 3):
+    for h in fingerprints.window_hashes(hashes[:, 0], 3):
         for lane in range(2):
             mixed = int(fingerprints.mix(np.array([h]) + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & (2 ** 64 - 1)))[0])
             votes[64 * lane: 64 * lane + 64] += [1 if mixed >> b & 1 else -1 for b in range(64)]

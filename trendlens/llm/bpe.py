@@ -13,6 +13,7 @@ by one; the key column may hold nulls; other columns are not looked at. A text l
 from __future__ import annotations
 
 import base64
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -66,15 +67,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
             points, rows = code_points(texts)
             starts = pretoken_starts(points, rows, classes)
-            codes, hashes, first = distinct_spans(points, starts)
+            codes, found = distinct_spans(points, starts, "".join(texts).encode())
             per_row = np.diff(np.searchsorted(starts, rows))
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            bucket = np.array([zlib.crc32(w) % buckets for w in found], np.int64)
             order = np.argsort(bucket, kind="stable")
             renamed = np.empty(len(order), np.int64)
             renamed[order] = np.arange(len(order))
-            whole = "".join(texts)
-            begin, stop = starts[first[order]], np.append(starts, len(points))[first[order] + 1]
-            words = [whole[a:b].encode() for a, b in zip(begin.tolist(), stop.tolist())]
+            words = [found[i] for i in order.tolist()]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("k", keys.type)])) as out:
                 out.write_batch(pa.record_batch([keys], names=["k"]))

@@ -31,6 +31,7 @@ RADIUS, BLOCKS, FLIPS = 16, 6, 2  # of op10: six tables of 21 or 22 bits, of whi
 def simhash(texts: pa.Array, shingle: int = 3) -> np.ndarray:
     """Fingerprints as an array (texts, 2) of unsigned 64-bit integers."""
     _, _, _, first, words = text_words(texts, lower=True)
+    words = words[:, 0]
     count = np.diff(first)
     out = np.zeros((len(count), BITS // 64), np.uint64)
     terms = np.maximum(np.where(count > 0, count - shingle + 1, 0), (count > 0).astype(np.int64))

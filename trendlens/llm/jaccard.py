@@ -56,6 +56,7 @@ def shape_of(items: np.ndarray, level: np.ndarray) -> dict[str, int]:
 def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, in order of value."""
     _, _, _, first, words = text_words(texts, lower=True)
+    words = words[:, 0]
     every = window_hashes(words, shingle)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -97,7 +98,7 @@ def prefixes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     bits = max(4, int(np.ceil(np.log2(parts))))
     blocks = max(parts, docs.count() // 256)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+        "block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     count_kind = "bucket int, block long, classes binary, more binary"
 
     def block_classes(table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

@@ -31,28 +31,26 @@ PIECES = ("doc_id long, row long, doc_tokens long, start long, length long, ids_
 def token_pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int, end_id: int = 0) -> DataFrame:
     """(doc_id, text) to pieces of at most ``size`` ids. ``rest`` holds the ids of a piece shorter than ``size``.
 
-    Each task keeps the ids of the words it has met, by 64-bit hash; a text's ids are put together from them.
+    Each task keeps the ids of the words it has met; a text's ids are put together from them.
     """
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         row, classes, one = TaskContext.get().partitionId() << 36, char_classes(), word_encoder(ranks, pattern)
-        known: dict[int, bytes] = {}
+        known: dict[bytes, bytes] = {}
         for part in slices(batches):
             ids_of, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
             points, rows = code_points(texts)
             starts = pretoken_starts(points, rows, classes)
-            codes, hashes, first = distinct_spans(points, starts)
+            codes, words = distinct_spans(points, starts, "".join(texts).encode())
             if len(known) > 2_000_000:  # memory: the cache starts anew
                 known.clear()
-            whole, names = "".join(texts), hashes.tolist()
-            stops = np.append(starts, len(points))[first + 1].tolist() if len(first) else []
             found = []
-            for h, a, b in zip(names, starts[first].tolist(), stops):
-                ids = known.get(h)
+            for word in words:
+                ids = known.get(word)
                 if ids is None:
-                    ids = known[h] = np.array(one(whole[a:b].encode()), "<u4").tobytes()
+                    ids = known[word] = np.array(one(word), "<u4").tobytes()
                 found.append(ids)
             pool = np.frombuffer(b"".join(found), "<u4")
             lengths = np.array([len(x) // 4 for x in found], np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trendlens.llm.words import BASE, BASE2, joined_words, sliding, slices, text_words, window_hashes
+from trendlens.llm.words import joined_words, sliding, slices, text_words, window_hashes
 from trendlens.session import settle
 
 FOUND = "doc_id long, n_words long, seq long, seq2 long, kept_sha256 string, anchors binary, places binary"
@@ -48,7 +48,7 @@ def first_level(docs: DataFrame, window: int) -> DataFrame:
     def choose(batches):
         for part in slices(batches):
             raw, starts, ends, first, words = text_words(part.column(1))
-            hashes = window_hashes(words, short)
+            hashes = window_hashes(words[:, 0], short)
             chosen = np.zeros(len(words), bool)
             if len(words) >= window:
                 row_end = np.repeat(first[1:], np.diff(first))
@@ -121,7 +121,7 @@ def _extend(docs: DataFrame, survivors: DataFrame, have: int, to: int, window: i
                 places = np.array(sorted({p for h in held if h["seq"] == seq for p in h["places"]}), np.int64)
                 if not len(places):
                     continue
-                hashes, hashes2 = window_hashes(own, to), window_hashes(own, to, BASE)
+                hashes, hashes2 = window_hashes(own[:, 0], to), window_hashes(own[:, 1], to)
                 if to == window:
                     new = np.unique((places[:, None] - np.arange(window - have + 1)).ravel())
                 else:

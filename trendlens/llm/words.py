@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE2 = 0xC2B2AE3D27D4EB4F | 1
 LETTER, NUMBER, SPACE = 1, 2, 3
 
 
@@ -27,14 +25,6 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base^0 … base^(n-1) modulo 2^64, and their inverses."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    if n:
-        up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -42,12 +32,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A 64-bit hash of each non-empty span of ``values``; equal content gives equal hashes wherever it stands."""
-    up, down = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Codes of slices of bytes, and the distinct slices by code. Slices are compared byte by byte, no hash stands for one."""
+    length = ends - starts
+    edges = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    packed = data[starts[0]: ends[-1]] if len(starts) and edges[-1] == ends[-1] - starts[0] else gather(data, starts, length)
+    array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(packed))])
+    found = array.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """BLAKE2 digests of 128 bits, as an array (words, 2) of unsigned 64-bit integers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").reshape(-1, 2)
 
 
 _SPACE = np.zeros(256, bool)
@@ -56,11 +53,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a string array, null as no words.
-
-    Returns bytes, word starts, word ends, the first word of each row (one more than rows), word hashes.
-    """
+def text_spans(texts: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that are no ``gaps``, of a string array, null as none: bytes, starts, ends, the first run of each row (one more than rows)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     texts = pa.concat_arrays([texts])  # offset 0
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset: texts.offset + len(texts) + 1]
@@ -71,7 +65,7 @@ def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     if lower:
         raw = _LOWER[raw]
     word = np.zeros(len(raw) + 2, bool)
-    word[1:-1] = ~_SPACE[raw]
+    word[1:-1] = ~gaps[raw]
     start = word[1:] & ~word[:-1]  # a word begins at byte i
     inner = offsets[1:-1][offsets[1:-1] < len(raw)]
     if len(raw):
@@ -80,7 +74,17 @@ def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     end = word[:-1] & ~word[1:]  # a word ended before byte i
     end[inner] |= word[inner] & (inner > 0)
     ends = np.flatnonzero(end)
-    return raw, starts, ends, np.searchsorted(starts, offsets), span_hashes(raw, starts, ends)
+    return raw, starts, ends, np.searchsorted(starts, offsets)
+
+
+def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a string array, null as no words.
+
+    Returns bytes, word starts, word ends, the first word of each row (one more than rows), word digests (words, 2).
+    """
+    raw, starts, ends, first = text_spans(texts, lower)
+    codes, words = distinct_slices(raw, starts, ends)
+    return raw, starts, ends, first, digests(words)[codes]
 
 
 def char_classes() -> np.ndarray:
@@ -139,13 +143,11 @@ def pretoken_starts(points: np.ndarray, rows: np.ndarray, classes: np.ndarray) -
     return np.flatnonzero(cut[:-1])
 
 
-def distinct_spans(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the spans that begin at ``starts``, the hash of each distinct span, and where it first occurs."""
-    ends = np.append(starts[1:], len(points))
-    codes, hashes = pd.factorize(span_hashes(points, starts, ends))
-    first = np.zeros(len(hashes), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    return codes, hashes, first
+def distinct_spans(points: np.ndarray, starts: np.ndarray, text: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Codes of the spans of code points that begin at ``starts``, and the distinct spans; ``text`` is all of them in UTF-8."""
+    width = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=width[1:])
+    return distinct_slices(np.frombuffer(text, np.uint8), width[starts], width[np.append(starts[1:], len(points))] if len(starts) else starts)
 
 
 def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,14 +157,26 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[np.repeat(shift, length) + np.arange(total)]
 
 
-def window_hashes(hashes: np.ndarray, length: int, base: int = BASE2) -> np.ndarray:
-    """A hash of each stretch of ``length`` word hashes, by where it begins."""
+def _followed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the content of hash ``a`` with that of ``b`` behind it."""
+    return mix(mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F)) + b * np.uint64(0x9E3779B97F4A7C15))
+
+
+def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each stretch of ``length`` word hashes, by where it begins.
+
+    Stretches of 1, 2, 4, … words are mixed from two halves, and those that the length is the sum of are put one behind another.
+    """
     if len(hashes) < length:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(hashes) + 1, base)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(mix(hashes ^ np.uint64(base)) * up[:-1], out=total[1:])
-    return mix((total[length:] - total[:-length]) * down[: len(total) - length])
+    power, size, out, have = mix(hashes), 1, None, 0
+    while True:
+        if length & size:
+            out = power if out is None else _followed(out[: len(power) - have], power[have:])
+            have += size
+        if have == length:
+            return mix(out[: len(hashes) - length + 1] + np.uint64(length))
+        power, size = _followed(power[:-size], power[size:]), 2 * size
 
 
 def sliding(values: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
