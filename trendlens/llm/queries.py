@@ -1,6 +1,6 @@
 """The queries of this package and their SQL counterparts."""
 
-from trendlens.llm import bpe, chat, fingerprints, jaccard, language, packing, substrings, urls, vectors, warc
+from trendlens.llm import bpe, chat, fingerprints, jaccard, language, lines, merkle, packing, resample, substrings, urls, vectors, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_warc": warc.op9_warc,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_lines": lines.op12_lines,
+    "op13_resample": resample.op13_resample,
 }
 ORACLE = {name: sql for name, sql in {
     "op2_vectors": vectors.ORACLE_SQL,
@@ -20,4 +23,7 @@ ORACLE = {name: sql for name, sql in {
     "op4_jaccard": jaccard.ORACLE_SQL,
     "op7_substrings": substrings.ORACLE_SQL,
     "op9_warc": warc.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op12_lines": lines.ORACLE_SQL,
+    "op13_resample": resample.ORACLE_SQL,
 }.items() if sql}
