@@ -430,6 +430,24 @@ def test_urls_fields_and_rules(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_urls_repeated_many_times_and_clashing_columns(spark):
+    kind = "page_id long, url string, prediction double, features string, suffix int, known string, domain string, fold int, key0 int, n int"
+    rows = [(i, ("http://a.com/", "http://b.net/fr/", "http://c.org/x")[i % 3], 1.0, "x", 1, "block", "y", 2, 3, 4) for i in range(3000)]
+    got = urls.judge(table(spark, rows, kind), max_train=2).collect()
+    assert Counter((r.url, r.rule) for r in got) == Counter({("http://a.com/", "com/"): 1000, ("http://b.net/fr/", "net/fr/"): 1000,
+                                                            ("http://c.org/x", None): 1000})
+    assert len({r.verdict for r in got if r.rule is None}) == 1
+
+
+def test_urls_held_out(spark):
+    rows = [(f"http://h{i % 50}.{'com' if i % 3 else 'net'}/{'x' if i % 3 else 'fr'}/{i}",) for i in range(400)]
+    pages = spark.createDataFrame(rows, "url string")
+    assert urls.held_out_auc(pages) > 0.95
+    one = settle(urls.featured(pages, []).where("known = 'block'"))  # a verdict that only one suffix has: its own fold is not counted
+    assert one.select("suffix_block").distinct().count() > 1
+    assert urls.held_out_auc(pages.limit(0)) is None
+
+
 # ---------------------------------------------------------------- 9 WARC
 
 def test_warc_round_trip(spark, folder):

@@ -2,17 +2,20 @@
 
 The trees learn from the URLs that rules label. Features: lengths, depth, digit ratio, character entropy, parameter
 counts, hyphens, and statistics of host suffixes (how often a suffix occurs, how often it is blocked among the
-labelled URLs), all column expressions over all rows. The trees are fitted on at most ``max_train`` labelled rows,
-those with the smallest hash of their URL; every other figure covers all rows.
+labelled URLs), all column expressions over all rows. A labelled URL's own fifth of the URLs is left out of the block shares that
+it is trained with, so no row is told its own label. The trees are fitted on at most ``max_train`` distinct labelled URLs, half
+of them at most from each verdict, those with the smallest hash, weighed by how many rows they stand for; every
+other figure covers all rows.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and is judged by the trees like any
 other; without labelled rows of both kinds the only known verdict, else ``allow``, is given; repeated rows get equal
-verdicts; an empty table gives no rows; further columns are ignored.
+verdicts; an empty table gives no rows; columns beyond the keys and the URL are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -80,36 +83,85 @@ def lexical_features(rows: DataFrame) -> DataFrame:
     })
 
 
+FOLDS = 5
+
+
 def suffix_statistics(rows: DataFrame, column: str) -> DataFrame:
-    """Per value of ``column``: share of all rows (log), and smoothed share of blocked rows among the labelled."""
-    blocked, labelled = F.count(F.when(F.col("known") == "block", 1)), F.count("known")
-    return rows.groupBy(column).agg(
-        F.log1p(F.count(F.lit(1)).cast("double")).alias(f"{column}_share"),
-        ((blocked + 1.0) / (labelled + 2.0)).alias(f"{column}_block"))
+    """Per value of ``column``: its rows, and by fold its labelled rows and the blocked ones among them."""
+    def folds(hit: Column) -> Column:
+        return F.array(*[F.count(F.when((F.col("fold") == f) & hit, 1)) for f in range(FOLDS)])
 
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), folds(F.col("known") == "block").alias("blocked"),
+                                    folds(F.col("known").isNotNull()).alias("labelled"))
 
-def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int = 8, depth: int = 3) -> DataFrame:
-    """(key columns…, url) to the same rows with host, path, rule, verdict and block_score (null where a rule decides)."""
-    host, path = host_and_path(F.col("url"))
-    named = pages.withColumns({"host": host, "path": path})
-    rule, known = rule_of(F.col("host"), F.col("path"), rules)
-    rows = settle(lexical_features(named.withColumns({"rule": rule, "known": known})))
+
+def with_suffix_features(rows: DataFrame) -> DataFrame:
+    """Add how frequent the suffix and the domain are (log), and their smoothed block shares, without a labelled row's own fold."""
     for column in ("suffix", "domain"):
         rows = attach_small(rows, settle(suffix_statistics(rows, column)), [column])
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+        def others(counts: str) -> Column:
+            whole = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+            return whole - F.when(F.col("known").isNotNull(), F.get(counts, F.col("fold"))).otherwise(0)
+
+        rows = rows.withColumns({
+            f"{column}_share": F.log1p(F.col("n").cast("double")),
+            f"{column}_block": (others("blocked") + 1.0) / (others("labelled") + 2.0)}).drop("n", "blocked", "labelled")
+    return rows
+
+
+def featured(pages: DataFrame, keys: list[str], rules=RULES) -> DataFrame:
+    """Keys (as key0, key1, …), url, host, path, rule, known (its verdict), fold and the vector of features."""
+    host, path = host_and_path(F.col("url"))
+    named = pages.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], "url").withColumns({"host": host, "path": path})
+    rule, known = rule_of(F.col("host"), F.col("path"), rules)
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    rows = settle(lexical_features(named.withColumns({"rule": rule, "known": known, "fold": fold})))
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_features(rows))
+
+
+def fit(labelled: DataFrame, max_train: int, trees: int, depth: int) -> GBTClassificationModel | None:
+    """Trees from at most ``max_train`` distinct URLs of ``labelled`` rows; None without both verdicts."""
+    urls = settle(labelled.groupBy("url").agg(F.any_value("known").alias("known"), F.any_value("features").alias("features"),
+                                              F.count(F.lit(1)).cast("double").alias("n")))
+    totals = {r["known"]: r["n"] for r in urls.groupBy("known").agg(F.sum("n").alias("n")).collect()}
+    if len(totals) < 2:
+        return None
+    parts = []
+    for kind in ("allow", "block"):
+        some = settle(urls.where(F.col("known") == kind).orderBy(F.xxhash64("url"), "url").limit(max_train // 2))
+        scale = totals[kind] / some.agg(F.sum("n")).first()[0]
+        parts.append(some.select("features", F.lit(float(kind == "block")).alias("label"), (F.col("n") * scale).alias("w")))
+    return GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=17, stepSize=0.3, weightCol="w").fit(
+        settle(parts[0].union(parts[1])))
+
+
+def judge(pages: DataFrame, keys: list[str] | None = None, rules=RULES, max_train: int = 20_000, trees: int = 8, depth: int = 3) -> DataFrame:
+    """(keys, url) to keys, url, host, path, rule, verdict and block_score (null where a rule decides)."""
+    keys = ["page_id"] if keys is None else keys
+    rows = settle(featured(pages, keys, rules))
     labelled = rows.where("known is not null")
-    counts = {r["known"]: r["count"] for r in labelled.groupBy("known").count().collect()}
-    if len(counts) < 2:
-        only = next(iter(counts), "allow")
-        return rows.withColumns({"verdict": F.coalesce("known", F.lit(only)), "block_score": F.lit(None).cast("double")})
-    share = max_train / max(max_train, sum(counts.values()))
-    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    train = settle(chosen.select("features", (F.col("known") == "block").cast("double").alias("label")))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, seed=17, stepSize=0.3).fit(train)
-    scored = model.transform(rows)
-    return scored.withColumns({
-        "verdict": F.coalesce("known", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")),
-        "block_score": F.when(F.col("known").isNull(), vector_to_array("probability")[1])})
+    model = fit(labelled, max_train, trees, depth)
+    if model is None:
+        only = labelled.select("known").head()
+        judged = rows.withColumns({"verdict": F.coalesce("known", F.lit(only[0] if only else "allow")),
+                                   "block_score": F.lit(None).cast("double")})
+    else:
+        judged = model.transform(rows).withColumns({
+            "verdict": F.coalesce("known", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")),
+            "block_score": F.when(F.col("known").isNull(), vector_to_array("probability")[1])})
+    return judged.select(*[F.col(f"key{i}").alias(k) for i, k in enumerate(keys)], "url", "host", "path", "rule", "verdict", "block_score")
+
+
+def held_out_auc(pages: DataFrame, fold: int = 0, rules=RULES, max_train: int = 20_000, trees: int = 8, depth: int = 3) -> float | None:
+    """Area under the ROC curve on the labelled URLs of one fold, by trees that learnt from the others."""
+    rows = settle(featured(pages, [], rules).where("known is not null"))
+    model = fit(rows.where(F.col("fold") != fold), max_train, trees, depth)
+    told = rows.where(F.col("fold") == fold)
+    if model is None or told.groupBy("known").count().count() < 2:
+        return None
+    scored = model.transform(told.withColumn("label", (F.col("known") == "block").cast("double")))
+    return BinaryClassificationEvaluator().evaluate(scored)
 
 
 def op8_urls(spark, sf_dir: str) -> DataFrame:
