@@ -7,7 +7,7 @@ import re
 from trendlens.functions import fixed, prompts
 from trendlens.operators.countreg import Category
 from trendlens.plans import models, roundtrips
-from trendlens.sources.views import CORPUS_TERMS, EVENT_DAYS, JSON_SHAPES, LINE_SHAPES, REGION_CODES
+from trendlens.sources.views import CORPUS_TERMS, EVENT_DAYS, JSON_SHAPES, LINE_SHAPES, REGION_CODES, SPELLINGS
 
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
 LABELS = ", ".join(f"'{x}'" for x in fixed.LABELS)
@@ -234,10 +234,8 @@ _CELLS = f"""{TRAIN}, predicted AS (
 
 _KEYWORD_REASON = "'keyword rule' AS reason"
 
-_LISTED = list(dict.fromkeys(fixed.GAMES_STEMS + fixed.SPORT_TERMS))
-_TERM = f"([{', '.join(_text(t) for t in _LISTED)}])[doc_id // 2 % {len(_LISTED)} + 1]"
-_TERMED = f"""SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN text ELSE 'x' || CASE doc_id % 3 WHEN 0 THEN upper({_TERM})
-    WHEN 1 THEN upper(substr({_TERM}, 1, 1)) || substr({_TERM}, 2) ELSE {_TERM} END || 'x ' || text END AS text FROM documents"""
+_SPELT = f"([{', '.join(_text(t) for t in SPELLINGS)}])[doc_id // 2 % {len(SPELLINGS) // 3} * 3 + doc_id % 3 + 1]"
+_TERMED = f"""SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN text ELSE 'x' || {_SPELT} || 'x ' || text END AS text FROM documents"""
 
 _KNOWN_PARTS = f"""WITH {VIDEOS}, known AS (
   SELECT video_id, country_code FROM videos QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {ORDER}) = 1),
