@@ -190,7 +190,7 @@ def prove(found: Manifest, wanted: DataFrame, keep: list[str]) -> DataFrame:
     """
     empty = F.expr(f"CAST(array() AS {PATH})")
     trees = settle(wanted.select("tree").distinct())
-    asked = trees.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"))
+    asked = settle(trees.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx")))
     n, largest = found.trees.agg(F.count(F.lit(1)), F.max("n")).first()
     roots = settle(_descend(found.top.withColumn("path", empty), found.records, asked, n, []).select(
         F.col("idx").alias("tree"), "digest", "path"))
