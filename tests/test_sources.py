@@ -1,4 +1,6 @@
+import csv
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from trendlens.streaming import incremental
 
 def put(folder, name, text):
     os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/{name}", "w", encoding="utf8") as f:
+    with open(f"{folder}/{name}", "w", encoding="utf8", newline="") as f:
         f.write(text)
 
 
@@ -55,6 +57,35 @@ def test_splittable_files_keep_row_order(spark, folder):
     assert sorted(r["video_id"] for r in part) == ["00100", "00101", "00102"]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", ["400", "134217728"])
+def test_quoted_line_breaks_on_split_edges(spark, folder, split, end):
+    rng = random.Random(7)
+    cells = ["", "plain", 'say ""x""', "two\nlines", "\n", "a,b", "\n\n\nfour", "é😀 " * 20, '""', "long " + "line\nbreak, " * 99, "x\r\ny"]
+    for country in ("US", "BR", "FR"):
+        rows = [(f"{country}{i}", *rng.choices(cells, k=2)) for i in range(0 if country == "FR" else 25)]
+        body = "".join(end.join([f'{key},"{a}","{b}"', ""]) + (end if rng.random() < .05 else "") for key, a, b in rows)
+        put(f"{folder}/raw", f"{country}_x.csv", f"video_id,title,tags{end}{body}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        records.land_csv(spark, f"{folder}/raw/*.csv", f"{folder}/all")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = spark.read.parquet(f"{folder}/all")
+    assert (rows.select("source_file", "source_block").distinct().count() > 8) == (split != "134217728")
+    got = records.read_merged(spark, f"{folder}/all").orderBy("ingest_seq").collect()
+    want = []
+    for country in ("BR", "US"):
+        with open(f"{folder}/raw/{country}_x.csv", encoding="utf8", newline="") as f:
+            want += [r for r in csv.reader(f) if r][1:]
+    null = lambda x: None if x in fixed.CSV_MISSING else x
+    assert len(got) == len(want)
+    for r, w in zip(got, want):
+        assert [r["video_id"], r["title"], r["tags"]] == [null(x) for x in w]
+    assert [r["ingest_seq"] for r in got] == list(range(50))
+
+
 def test_labelled_files(spark, folder):
     put(folder, "a.csv", "title,label\nx,olympic\n")
     put(folder, "b.csv", "label,reason,title\nnon_sport,r,y\n")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.session import attach_small
+from trendlens.sources import splitcsv
 
 _POSITION = ["source_file", "source_block", "source_row"]
 
@@ -56,22 +57,24 @@ def land_csv(
     country_code of its own. Files may differ
     in their columns: those with the same header share one scan. Each row
     keeps where it came from, which ``read_merged`` turns into a gapless
-    ``ingest_seq``. ``multiline`` allows line breaks in quoted cells, at the
-    price that one file is one task; bring many files per country.
+    ``ingest_seq``. ``multiline`` allows line breaks in quoted cells; big files are
+    read by many tasks in either case.
     """
     types = RECORD_TYPES if types is None else types
     tables = []
     for paths in _headers(spark, pattern).values():
-        raw = _csv(spark, paths, multiline)
-        own = [c for c in raw.columns if c.lower() != "country_code"]
-        placed = raw.select(
-            *[F.col(f"`{c}`") for c in own],
-            F.regexp_extract(F.col("_metadata.file_name"), "^([^_]+)_", 1).alias("country_code"),
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("source_block"),
-            F.monotonically_increasing_id().alias("source_row"),
-        )
-        values = missing_to_null(placed.select(own + ["country_code", *_POSITION]))
+        names = _csv(spark, paths[:1], multiline).columns
+        own = [c for c in names if c.lower() != "country_code"]
+        name = F.element_at(F.split("source_file", "/"), -1)
+        if multiline:
+            placed = splitcsv.parsed(splitcsv.records(spark, paths), names).select(
+                *[F.col("cells")[c].alias(c) for c in own], *_POSITION)
+        else:
+            placed = _csv(spark, paths, False).select(
+                *[F.col(f"`{c}`") for c in own], F.col("_metadata.file_path").alias("source_file"),
+                F.col("_metadata.file_block_start").alias("source_block"), F.monotonically_increasing_id().alias("source_row"))
+        country = F.regexp_extract(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "^([^_]+)_", 1).alias("country_code")
+        values = missing_to_null(placed.select(*[F.col(f"`{c}`") for c in own], country, *_POSITION))
         tables.append(values.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in own}))
     union_all(tables).write.mode("overwrite").parquet(out)
 
