@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendlens.functions import fixed
 from trendlens.operators import classifier, countreg, features, sampling
 from trendlens.operators.countreg import Category, Product
-from trendlens.plans import training
+from trendlens.plans import models, queries, training
 from trendlens.sources import sinks, views
 from trendlens.plans.queries import _train_text
 
@@ -70,11 +70,67 @@ def test_fit_matches_newton_and_sandwich(cells):
     assert r["p_value"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)))
 
 
+def test_rows_are_folded_to_distinct_inputs(cells):
+    pdf, df = cells
+    cell = countreg.folded(df, "y", ["country", "month"]).toPandas().sort_values(["country", "month"])
+    want = pdf.groupby(["country", "month"]).y.agg(["count", "mean", lambda v: ((v - v.mean()) ** 2).sum()]).to_numpy()
+    assert len(cell) < len(pdf) / 5
+    assert np.allclose(cell[["_n", "_mean", "_spread"]].to_numpy(float), want)
+
+
+def test_main_models_match_a_dense_fit(spark, sf):
+    """Coefficients and errors that the queries show, against Newton steps on the whole design of the small panel."""
+    pdf = queries._full(spark, sf).toPandas()
+    y, off = pdf.sports_videos.to_numpy(float), np.log(pdf.videos.to_numpy(float))
+    shown = {(r["model"], r["term"]): r for r in queries.nb_coefficients(spark, sf).collect()}
+    assert {m for m, _ in shown} == set(models.MODELS)
+
+    def design(model):
+        out = {"Intercept": np.ones(len(pdf))}
+        for term in models.MODELS[model]:
+            category = term if isinstance(term, Category) else getattr(term, "category", None)
+            flags = {} if category is None else {
+                f"C({category.column})[T.{v}]": (pdf[category.column] == v).to_numpy(float) for v in sorted(pdf[category.column].unique())[1:]}
+            number = term if isinstance(term, str) else getattr(term, "number", None)
+            out |= flags | ({number: pdf[number].to_numpy(float)} if number else {})
+            if number and flags:
+                out |= {f"{k}:{number}": v * pdf[number].to_numpy(float) for k, v in flags.items()}
+        return {k: v for k, v in out.items() if np.any(v)}
+
+    compared, met = [], 0
+    for model in models.MODELS:
+        x = design(model)
+        names, x = list(x), np.stack(list(x.values()), axis=1)
+        scale = np.append(1.0, np.sqrt((x ** 2).mean(axis=0))[1:])
+        if np.linalg.matrix_rank(x / scale) < x.shape[1]:
+            continue  # no single solution to compare with
+        compared.append(model)
+        beta = newton(x / scale, y, off)
+        mu = np.exp(x / scale @ beta + off)
+        bread = np.linalg.pinv((x / scale * (mu / (1 + mu))[:, None]).T @ (x / scale), hermitian=True)
+        h = np.einsum("ij,jk,ik->i", x / scale, bread, x / scale) * mu / (1 + mu)
+        jack = np.where(1 - h > 1e-10, (y - mu) / (1 + mu) / np.where(1 - h > 1e-10, 1 - h, 1), 0)
+        xr = x / scale * jack[:, None]
+        se = np.sqrt(np.diag(bread @ (xr.T @ xr) @ bread)) / scale
+        for i, term in enumerate(names):
+            r = shown[model, term]
+            if max(abs(beta[i]) / scale[i], abs(r["coef"])) * np.abs(x[:, i]).max() > 15:
+                continue  # a level without any sport video: the estimate has no end
+            met += 1
+            assert r["coef"] == pytest.approx(beta[i] / scale[i], rel=1e-4, abs=2e-6)
+            assert r["se_hc3"] == pytest.approx(se[i], rel=1e-3, abs=2e-6)
+            assert r["z"] == pytest.approx(r["coef"] / r["se_hc3"], rel=1e-2, abs=1e-2)
+    assert {"base", "trend", "season"} <= set(compared) and met > 60
+    rolled = {r["rolling_window"]: r for r in queries.nb_rolling_z(spark, sf).collect()}
+    assert sorted(rolled) == list(range(1, 22))
+    assert {r["model"] for r in queries.nb_predictors(spark, sf).collect()} == {"medal_count", "medal_score"}
+
+
 def test_models_fitted_together_equal_single_fits(cells):
     _, df = cells
-    models = {"a": ["during"], "b": ["during", Category("country")], "c": [Category("month"), "t"]}
-    together = {(r["model"], r["term"]): r["coef"] for r in countreg.fit_counts(df, "y", models, "videos").collect()}
-    for name, terms in models.items():
+    several = {"a": ["during"], "b": ["during", Category("country")], "c": [Category("month"), "t"]}
+    together = {(r["model"], r["term"]): r["coef"] for r in countreg.fit_counts(df, "y", several, "videos").collect()}
+    for name, terms in several.items():
         for r in countreg.fit_counts(df, "y", {name: terms}, "videos").collect():
             assert together[name, r["term"]] == pytest.approx(r["coef"], rel=1e-6, abs=1e-9)
 

@@ -3,6 +3,8 @@
 Row work stays on the executors: a pass sums weighted cross-products per
 partition and Spark adds the partitions up, so the driver sees matrices as
 wide as the model and never a row. Several models on one table share each pass.
+Before the passes, rows with equal inputs are folded to one cell with their number, mean and spread: all that the fit and
+its errors need of them. A pass over records with few distinct inputs costs as much as there are cells, not records.
 """
 
 from __future__ import annotations
@@ -92,10 +94,17 @@ def _summed(design: DataFrame, partials) -> dict[str, np.ndarray]:
     return {m: g.sort_values("pos")["val"].to_numpy() for m, g in total.groupby("model")}
 
 
+def folded(df: DataFrame, response: str, inputs: list[str]) -> DataFrame:
+    """Distinct inputs with the response's count ``_n``, mean ``_mean`` and sum of squared deviations ``_spread``."""
+    y = F.col(response).cast("double")
+    return df.groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(y).alias("_mean"),
+                                   (F.var_pop(y) * F.count(F.lit(1))).alias("_spread"))
+
+
 def _batches(batches: Iterator[pd.DataFrame]):
     for pdf in batches:
         if len(pdf):
-            yield np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["off"].to_numpy()
+            yield np.stack(pdf["x"].to_numpy()), *(pdf[c].to_numpy() for c in ("_n", "_mean", "_spread", "off"))
 
 
 def _inverse(gram: np.ndarray) -> np.ndarray:
@@ -108,15 +117,15 @@ def _inverse(gram: np.ndarray) -> np.ndarray:
 def _irls_pass(design, columns, betas, mean_y, alpha):
     def partials(batches):
         sums = {}
-        for x_all, y, off in _batches(batches):
+        for x_all, n, y, _, off in _batches(batches):
             for name, idx in columns.items():
                 x = x_all[:, idx]
                 eta = np.log((y + mean_y) / 2) if betas is None else x @ betas[name] + off
                 mu = np.exp(eta)
-                w = mu / (1 + alpha * mu)
+                w = n * mu / (1 + alpha * mu)
                 z = eta - off + (y - mu) / mu
                 xw = x * w[:, None]
-                part = np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [len(y)]])
+                part = np.concatenate([(xw.T @ x).ravel(), xw.T @ z, [n.sum()]])
                 sums[name] = sums.get(name, 0) + part
         yield pd.DataFrame({"model": list(sums), "vals": [v.tolist() for v in sums.values()]})
 
@@ -126,17 +135,16 @@ def _irls_pass(design, columns, betas, mean_y, alpha):
 def _sandwich_pass(design, columns, betas, breads, alpha):
     def partials(batches):
         sums = {}
-        for x_all, y, off in _batches(batches):
+        for x_all, n, y, spread, off in _batches(batches):
             for name, idx in columns.items():
                 x = x_all[:, idx]
                 mu = np.exp(x @ betas[name] + off)
-                score = (y - mu) / (1 + alpha * mu)
-                leverage = mu / (1 + alpha * mu) * np.einsum("ij,jk,ik->i", x, breads[name], x)
-                slack = 1 - leverage
-                jack = np.divide(score, slack, out=np.zeros_like(score), where=slack > 1e-10)
-                x0, x3 = x * score[:, None], x * jack[:, None]
+                slack = 1 - mu / (1 + alpha * mu) * np.einsum("ij,jk,ik->i", x, breads[name], x)
+                squares = (spread + n * (y - mu) ** 2) / (1 + alpha * mu) ** 2  # of the scores of the cell's rows
+                jack = np.divide(squares, slack ** 2, out=np.zeros_like(squares), where=slack > 1e-10)
+                score = n * (y - mu) / (1 + alpha * mu)
                 sums[name] = sums.get(name, 0) + np.concatenate(
-                    [(x0.T @ x0).ravel(), (x3.T @ x3).ravel(), x0.sum(axis=0)])
+                    [((x * squares[:, None]).T @ x).ravel(), ((x * jack[:, None]).T @ x).ravel(), (x * score[:, None]).sum(axis=0)])
         yield pd.DataFrame({"model": list(sums), "vals": [v.tolist() for v in sums.values()]})
 
     return _summed(design, partials)
@@ -169,8 +177,8 @@ def fit_counts(
     have levels; more than ``max_levels`` of one are refused.
     """
     everything = [t for terms in models.values() for t in terms]
-    used = [response, *([exposure] if exposure else []), *_inputs(everything)]
-    rows = settle(df.select(*dict.fromkeys(used)).dropna())
+    inputs = list(dict.fromkeys([*([exposure] if exposure else []), *_inputs(everything)]))
+    rows = settle(folded(df.select(*dict.fromkeys([response, *inputs])).dropna(), response, inputs))
     levels = _levels(rows, everything, max_levels)
     per_model = {name: design_columns(terms, levels) for name, terms in models.items()}
     wide: dict[str, Column] = {}
@@ -180,9 +188,9 @@ def fit_counts(
     columns = {m: np.array([position[t] for t in cols]) for m, cols in per_model.items()}
     offset = F.log(F.col(exposure).cast("double")) if exposure else F.lit(0.0)
     design = rows.select(
-        F.col(response).cast("double").alias("y"), offset.alias("off"), F.array(*wide.values()).alias("x")
+        "_n", "_mean", "_spread", offset.alias("off"), F.array(*wide.values()).alias("x")
     )
-    mean_y = rows.agg(F.avg(response)).first()[0]
+    mean_y = rows.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).first()[0]
 
     betas: dict[str, np.ndarray] | None = None
     grams, count, done = {}, {}, {}

@@ -451,6 +451,20 @@ UNION ALL
 SELECT 'C(country_code)[T.' || c.country_code || ']', round(ln(c.m) - ln(r.m), 6), round(sqrt(c.v0 + r.v0), 6),
        round(sqrt(c.v0 / (1 - 1 / c.n) ** 2 + r.v3), 6)
 FROM cells c, ref r WHERE c.country_code <> r.country_code""",
+    "nb_records": """WITH items AS (
+  SELECT r_name AS country_code, CAST(l_quantity AS DOUBLE) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+means AS (SELECT country_code, avg(y) AS m, count(*) AS n FROM items GROUP BY 1),
+cells AS (SELECT country_code, m, n, sum((y - m) ** 2) / (n * m * n * m) AS v0
+          FROM items JOIN means USING (country_code) GROUP BY country_code, m, n),
+ref AS (SELECT *, v0 / (1 - 1 / n) ** 2 AS v3 FROM cells WHERE country_code = (SELECT min(country_code) FROM cells)),
+total AS (SELECT CAST(sum(n) AS BIGINT) AS rows_seen FROM cells)
+SELECT 'Intercept' AS term, rows_seen AS n, round(ln(m), 6) AS coef, round(sqrt(v0), 6) AS se_hc0, round(sqrt(v3), 6) AS se_hc3
+FROM ref, total
+UNION ALL
+SELECT 'C(country_code)[T.' || c.country_code || ']', rows_seen, round(ln(c.m) - ln(r.m), 6), round(sqrt(c.v0 + r.v0), 6),
+       round(sqrt(c.v0 / (1 - 1 / c.n) ** 2 + r.v3), 6)
+FROM cells c, ref r, total WHERE c.country_code <> r.country_code""",
     "nb_base": _fit_sql("base"),
     "nb_trend": _fit_sql("trend"),
     "nb_season": _fit_sql("season"),

@@ -466,6 +466,32 @@ def nb_single_factor(spark, sf):
     return _rounded(table.select("term", "coef", "se_hc0", "se_hc3"), "coef", "se_hc0", "se_hc3")
 
 
+def nb_records(spark, sf):
+    """Quantity of all line items by country: the rows are folded to one cell per country and quantity's moments."""
+    rows = views.videos(spark, sf).join(views.table(spark, sf, "lineitem", *ORDER, "l_quantity"), ORDER)
+    table = countreg.fit_counts(rows, "l_quantity", {"country": [countreg.Category("country_code")]})
+    return _rounded(table.select("term", "n", "coef", "se_hc0", "se_hc3"), "coef", "se_hc0", "se_hc3")
+
+
+COEFFICIENTS = ["coef", "se_hc0", "se_hc3", "z", "p_value", "ci_low", "ci_high"]
+
+
+def nb_coefficients(spark, sf):
+    """Coefficient tables of all models: estimate, robust errors, z, p and the 95 % interval of every term."""
+    table = models.fit(_full(spark, sf), *models.MODELS)
+    return _rounded(table.select("model", "term", "n", *COEFFICIENTS, "dropped", "converged"), *COEFFICIENTS)
+
+
+def nb_predictors(spark, sf):
+    """Coefficient and error of the medal count and of the medal score, each in its own model."""
+    return _rounded(models.compare_medals(_full(spark, sf)).select("model", "term", *COEFFICIENTS), *COEFFICIENTS)
+
+
+def nb_rolling_z(spark, sf):
+    """Coefficient and z of each rolling window of medals."""
+    return _rounded(models.rolling_sweep(_full(spark, sf)).select("rolling_window", "coef", "z_value"), "coef", "z_value")
+
+
 def _nb(*names: str):
     def run(spark, sf):
         return models.settled(models.fit(_full(spark, sf), *names))
@@ -558,6 +584,10 @@ QUERIES = {
     "report_fixed": report_fixed,
     "confusion_fixed": confusion_fixed,
     "nb_single_factor": nb_single_factor,
+    "nb_records": nb_records,
+    "nb_coefficients": nb_coefficients,
+    "nb_predictors": nb_predictors,
+    "nb_rolling_z": nb_rolling_z,
     "nb_base": _nb("base"),
     "nb_trend": _nb("trend"),
     "nb_season": _nb("season"),
