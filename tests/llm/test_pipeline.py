@@ -56,6 +56,16 @@ def test_equal_ids_and_no_rows(spark):
         assert function(spark, docs.limit(0), "").count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long, "en", "b", 1), (5, long, "en", "a", 1), (5, "another text altogether here", "en", "s", 1), (5, long + " more", "en", "s", 1),
+            (2, long + " end", "en", "s", 1), (7, "!", "en", "s", 1), (7, "!", "en", "s", 1), (7, "?", "en", "s", 1), (None, long, "en", "s", 1)]
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, settle(spark.createDataFrame(rows, kind)), "")
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted(
+        [("2", long + " end"), ("5", "another text altogether here"), ("7", "!"), ("7", "?"), ("None", long)])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(name, spark, sf, duck):
     df = QUERIES[name](spark, sf)
@@ -71,7 +81,7 @@ def test_same_as_sql(name, spark, sf, duck):
 def test_queries_cover_the_operators(spark, sf):
     assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [
         "op1_bpe", "op2_vectors", "op3_chat", "op4_jaccard", "op5_language", "op6_packing", "op7_substrings", "op8_urls", "op9_warc",
-        "op10_fingerprints"]
+        "op10_fingerprints", "op11_merkle", "op12_lines", "op13_resample"]
     pages = QUERIES["op8_urls"](spark, sf).collect()
     assert len(pages) == spark.read.parquet(f"{sf}/pages.parquet").count()
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     steps = levels(window)
     found = settle(first_level(docs, window))
-    firsts = found.where(F.col("doc_id").isNotNull()).groupBy("seq", "seq2").agg(F.min("doc_id").alias("first"))
+    firsts = settle(found.where(F.col("doc_id").isNotNull()).groupBy("seq", "seq2").agg(F.min("doc_id").alias("first")))
     known = settle(found.drop("anchors", "places").join(firsts, ["seq", "seq2"], "left").withColumn(
         "later", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))))
     windows = _unpack(found.where(F.col("doc_id").isNotNull()))
