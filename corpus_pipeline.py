@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and r
 written as Parquet and read again. All but the last return the columns of ``documents``.
 
 Nulls: a document without text has no language and goes in the first stage; documents without id are in no group and stay.
-Empty tables give empty tables. Columns beyond those of ``documents`` are dropped.
+Rows that share an id are told apart by their texts: different texts stay, equal ones are one row. Empty tables give empty
+tables. Columns beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -31,15 +32,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group. Of rows with one id, one is kept."""
-    groups = jaccard_components(docs)
-    go = settle(groups.where("component_id != doc_id").select("doc_id").distinct())
-    kept = docs.select(*COLUMNS).join(go, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document with the smallest id of each group. Where ids repeat, each row counts as a document of its own,
+    but rows equal in id and text are one (the least lang, source and n_chars stay)."""
     repeated = settle(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+        groups = jaccard_components(docs)
+        go = settle(groups.where("component_id != doc_id").select("doc_id").distinct())
+        return docs.select(*COLUMNS).join(go, "doc_id", "left_anti").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    many = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
+    rows = docs.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(many.select("doc_id", "text", "r.*"))
+    rows = settle(rows.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    groups = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text")).where("doc_id is not null")
+    members = settle(rows.select("row", "doc_id", F.md5("text").alias("digest")).join(
+        groups.select(F.col("doc_id").alias("row"), "component_id"), "row"))
+    stay = settle(members.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "row")).alias("m")).select("m.row"))
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

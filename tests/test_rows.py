@@ -112,6 +112,18 @@ def test_no_group_is_ranked_in_one_window(skewed):
                 assert "_bucket" in line.split("],")[1]
 
 
+@pytest.mark.parametrize("by", [["country_code"], []])
+@pytest.mark.parametrize("k", [1, 10, 999, 1000, 5000])
+def test_first_by_hash_takes_the_same_rows_in_one_read(skewed, by, k):
+    took = ranking.first_by_hash(skewed, by, ["seq"], 1, k)
+    want = ranking.rank_by_hash(skewed, by, ["seq"], 1, upto=k)
+    plan = took._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, took.collect())) == sorted(map(tuple, want.collect()))
+    if k <= ranking.FEW and by:  # groups are cut before each shuffle
+        assert plan.count("WindowGroupLimit") >= plan.count("Exchange hashpartitioning")
+        assert plan.count("Scan ") == skewed._jdf.queryExecution().executedPlan().toString().count("Scan ")
+
+
 @pytest.mark.parametrize("fraction", [0.0, 0.2, 0.5, 1.0])
 def test_stratified_split(skewed, attach, fraction):
     got = sampling.stratified_split(skewed, "country_code", ["seq"], fraction, 4).collect()

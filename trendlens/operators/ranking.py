@@ -3,7 +3,8 @@
 A group (country, label, …) may hold a third of all rows, so no group is ever
 sorted in one task. Two tools:
 
-* hash order: rows are ordered by an MD5 of their key. A histogram over the
+* hash order: rows are ordered by an MD5 of their key. The first few of each group are found in one pass: every task keeps
+  its own first ones, and those are merged in two steps. For many, a histogram over the
   first hex digits tells which bucket each rank falls in; only ranks inside a
   bucket are counted by a window, and buckets are small whatever the group's size.
 * given order: group and order columns are sorted over all partitions; a row's place gives its rank.
@@ -45,6 +46,26 @@ def _bucket_offsets(keyed: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+FEW = 999  # rows per group that one task ranks; from 1,000 on Spark no longer cuts groups inside map tasks
+MERGES = 64
+
+
+def first_by_hash(df: DataFrame, by: list[str], key: list[str], seed: int, k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each group in hash order, with their position: ``rank_by_hash`` with ``upto``, from one read.
+
+    A map task passes on at most ``k`` rows per group, a first merge takes a share of the tasks each, and the last one at
+    most MERGES times ``k`` rows per group, however large the group is. More than FEW rows per group are ranked over many tasks.
+    """
+    if k > FEW:
+        return rank_by_hash(df, by, key, seed, upto=k, rank=rank)
+    order = ["_hash", *key]
+    dealt = df.withColumn("_hash", hash_order(key, seed)).withColumn("_share", F.spark_partition_id() % MERGES)
+    part = W.partitionBy(*by, "_share").orderBy(*order)
+    some = dealt.withColumn("_at", F.row_number().over(part)).filter(F.col("_at") <= k)
+    ranked = some.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+    return ranked.filter(F.col(rank) <= k).select(*df.columns, rank)
+
+
 def rank_by_hash(
     df: DataFrame, by: list[str], key: list[str], seed: int, upto: int | None = None, rank: str = "rank"
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.functions.values import country_or
-from trendlens.operators.ranking import hash_order, rank_by_hash, split_by_hash
+from trendlens.operators.ranking import first_by_hash, hash_order, split_by_hash
 
 
 def sample_per_country(
@@ -15,12 +15,12 @@ def sample_per_country(
 ) -> DataFrame:
     """Uniform ``k`` rows per country without replacement; smaller countries whole."""
     rows = df.withColumn("_stratum", country_or(country, fixed.NO_COUNTRY, empty_too=True))
-    return rank_by_hash(rows, ["_stratum"], key, seed, upto=k).select(df.columns)
+    return first_by_hash(rows, ["_stratum"], key, seed, k).select(df.columns)
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """Uniform ``n`` rows without replacement; everything if there are fewer."""
-    return rank_by_hash(df, [], key, seed, upto=n).select(df.columns)
+    return first_by_hash(df, [], key, seed, n).select(df.columns)
 
 
 def shuffled(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
@@ -39,7 +39,7 @@ def resample_class(
     """
     is_class = F.coalesce(F.col(label) == value, F.lit(False))
     rest = df.filter(~is_class)
-    numbered = rank_by_hash(df.filter(is_class), [], key, seed, upto=target, rank="_pos")
+    numbered = first_by_hash(df.filter(is_class), [], key, seed, target, "_pos")
     size = F.coalesce(
         F.nullif(numbered.agg(F.count(F.lit(1))).scalar(), F.lit(0).cast("long")),
         F.raise_error(F.lit(f"no {value} rows to resample")).cast("long"),
@@ -72,7 +72,7 @@ def balanced_quota(
     Ordered by (``round``, country) the rows come one per country and turn.
     """
     rows = df.withColumn(country, country_or(country, fixed.UNKNOWN_COUNTRY, empty_too=True))
-    return rank_by_hash(rows, [country], key, seed, upto=quota, rank="round")
+    return first_by_hash(rows, [country], key, seed, quota, "round")
 
 
 def stratified_split(
