@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions.text import ngrams, tokens
 from trendlens.operators.ranking import with_position
+from trendlens.session import settle
 
 MAX_FEATURES = 80_000  # fixed value: vocabulary cap, the bound on what is broadcast below
 MAX_DF = 0.98  # fixed value
@@ -29,12 +30,19 @@ def vocabulary(
 ) -> DataFrame:
     """(term, cf, df) of the most frequent terms; ties at the cap go by term.
 
-    ``n_docs`` is a column, usually a scalar subquery.
+    A histogram of the frequencies tells at which one the cap falls. Terms above it are taken as they are; only those at
+    it are sorted. ``n_docs`` is a column, usually a scalar subquery.
     """
     terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    placed = with_position(kept, [F.desc("cf"), "term"], "_place")  # a distributed sort: no task takes the top of all
-    return placed.filter(F.col("_place") < max_features).drop("_place")
+    kept = settle(terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)))
+    sizes = kept.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.orderBy(F.desc("cf")))  # one short row per distinct frequency
+    edge = sizes.withColumn("upto", upto).filter(F.col("upto") >= max_features).orderBy("upto").first()
+    if edge is None:
+        return kept
+    left = max_features - (edge["upto"] - edge["n"])
+    tied = with_position(kept.filter(F.col("cf") == edge["cf"]), ["term"], "_place")  # a distributed sort: no task takes the top of all
+    return kept.filter(F.col("cf") > edge["cf"]).unionByName(tied.filter(F.col("_place") < left).drop("_place"))
 
 
 def tfidf(
@@ -43,7 +51,7 @@ def tfidf(
 ) -> DataFrame:
     """(doc, term, tf, weight): tf · (ln((1+n)/(1+df)) + 1), scaled to unit length per document."""
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    counts = term_counts(df, doc, text, ngram_range)
+    counts = settle(term_counts(df, doc, text, ngram_range))
     vocab = vocabulary(counts, n_docs, max_features, min_df, max_df)
     idf = vocab.select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("_idf"))
     # at most max_features rows, so the frequent terms are not shuffled to one task
