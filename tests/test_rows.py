@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,29 @@ def test_no_group_is_ranked_in_one_window(skewed):
                 assert "_bucket" in line.split("],")[1]
 
 
+@pytest.mark.parametrize("max_bits", [28, 8])
+def test_exclude_signed_by_bloom_filter(spark, max_bits):
+    rows = [(i, f"t{i % 700}" if i % 50 else None, "c") for i in range(3000)] + [(3000 + i, "hot", "c") for i in range(500)]
+    records = spark.createDataFrame(rows, "seq long, title string, channelTitle string")
+    candidates = records.filter("seq < 300 or title = 'hot'").drop("seq")
+    gone = {(r.title or "") for r in candidates.collect()}
+    got = lookups.exclude_signed(records, candidates, max_bits=max_bits)
+    assert sorted(r.seq for r in got.collect()) == [i for i, t, _ in rows if (t or "") not in gone]
+    assert got.columns == records.columns
+    assert lookups.exclude_signed(records, candidates.limit(0), max_bits=max_bits).count() == len(rows)
+
+
+def test_bloom_filter_hits_every_key_and_few_others(spark):
+    def signed(a, b):
+        return spark.range(a, b).select(F.sha1(F.col("id").cast("string")).alias("_sig"))
+
+    bits = lookups.bloom_filter(signed(0, 2000))
+    def hits(df):
+        places = np.array([list(r) for r in df.select(*lookups._probes((64 * len(bits)).bit_length() - 1)).collect()])
+        return ((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1).all(axis=1)
+    assert hits(signed(0, 2000)).all() and hits(signed(5000, 9000)).mean() < 0.03
+
+
 @pytest.mark.parametrize("by", [["country_code"], []])
 @pytest.mark.parametrize("k", [1, 10, 999, 1000, 5000])
 def test_first_by_hash_takes_the_same_rows_in_one_read(skewed, by, k):

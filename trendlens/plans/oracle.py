@@ -352,10 +352,10 @@ SELECT p.video_id, p_name, coalesce(country_code, 'XX') AS country_code FROM par
 SELECT count(*) AS candidates, count(country_code) AS assigned, (SELECT count(*) FROM known) AS mapping
 FROM parts LEFT JOIN known USING (video_id)""",
     "country_lookup_fallback": f"""WITH {CORPUS}, signed AS (SELECT *, {SIG} AS sig FROM corpus),
-known AS (SELECT * FROM signed WHERE doc_id % 4 <> 3),
-by_id AS (SELECT video_id, country_code FROM known QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY doc_id) = 1),
-by_sig AS (SELECT sig, country_code FROM known QUALIFY row_number() OVER (PARTITION BY sig ORDER BY doc_id) = 1),
-lost AS (SELECT doc_id, sig, CASE WHEN doc_id % 2 = 1 THEN 'lost-' || video_id ELSE video_id END AS video_id FROM signed)
+by_id AS (SELECT video_id, country_code FROM signed QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY doc_id) = 1),
+by_sig AS (SELECT sig, country_code FROM signed QUALIFY row_number() OVER (PARTITION BY sig ORDER BY doc_id) = 1),
+lost AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN sha1('lost ' || title || '|' || "channelTitle" || '|') ELSE sig END AS sig,
+  CASE WHEN doc_id % 2 = 1 THEN 'lost-' || video_id ELSE video_id END AS video_id FROM signed)
 SELECT doc_id, coalesce(by_id.country_code, by_sig.country_code, 'XX') AS country_code
 FROM lost LEFT JOIN by_id USING (video_id) LEFT JOIN by_sig USING (sig)""",
     "negatives_anti": f"{NEGATIVES} SELECT doc_id, country_code FROM negatives",
@@ -410,7 +410,7 @@ SELECT doc_id, lang AS country_code FROM documents WHERE regexp_matches(text, {_
 SELECT coalesce(country_code, 'XX') AS country_code, count(*) AS n FROM lineitem
 LEFT JOIN known ON CASE WHEN l_partkey % 5 = 0 THEN -l_partkey ELSE l_partkey END = video_id GROUP BY 1""",
     "dedup_train": f"""{TRAIN} SELECT doc_id, label FROM train
-QUALIFY row_number() OVER (PARTITION BY doc_id % 7, {_strip("substr(title, 1, 1)")}, doc_id % 3 ORDER BY doc_id) = 1""",
+QUALIFY row_number() OVER (PARTITION BY country_code, {_strip("title")}, "channelTitle" ORDER BY doc_id) = 1""",
     "token_counts": f"""WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
 SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS distinct_tokens FROM words GROUP BY doc_id""",
     "ngram_vocab": f"""{_GRAMS}

@@ -223,12 +223,12 @@ def country_lookup(spark, sf):
 
 
 def country_lookup_fallback(spark, sf):
-    """Every second record has an id that is not known; its signature may be."""
+    """All documents are known. Every second record asks with an id that none has; its signature is known, but for every fourth."""
     docs = views.corpus(spark, sf)
-    known = docs.filter("doc_id % 4 != 3")
-    lost = docs.withColumn("video_id", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("lost-"), "video_id"))
-                           .otherwise(F.col("video_id")))
-    return lookups.lookup_country_or_signature(lost, known, ["doc_id"]).select("doc_id", "country_code")
+    lost = docs.withColumns({
+        "video_id": F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("lost-"), "video_id")).otherwise(F.col("video_id")),
+        "title": F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("lost "), "title")).otherwise(F.col("title"))})
+    return lookups.lookup_country_or_signature(lost, docs, ["doc_id"]).select("doc_id", "country_code")
 
 
 def negatives_anti(spark, sf):
@@ -369,7 +369,7 @@ def incremental_label(spark, sf):
 # ---- features, classifiers, evaluation ----------------------------------------
 
 def dedup_train(spark, sf):
-    return training.training_rows(views.dirty_train(spark, sf), ["doc_id"]).select("doc_id", "label")
+    return training.training_rows(views.dirty_train(spark, sf), ["doc_id", "copy"]).select("doc_id", "label")
 
 
 def _train_text(spark, sf):
@@ -391,9 +391,17 @@ def tfidf_terms(spark, sf):
     return _rounded(features.tfidf(_train_text(spark, sf), "doc_id", "text"), "weight")
 
 
+_fitted: dict[tuple, tuple] = {}
+
+
 def _text_model(spark, sf, split_first=False):
-    return training.train_text_classifier(_train_text(spark, sf).select("doc_id", "label", "text"), ["doc_id"],
-                                          split_first=split_first)
+    """One fit per session and table folder: the queries that show it share it."""
+    key = (spark.sparkContext.applicationId, sf, split_first)
+    if key not in _fitted:
+        rows = _train_text(spark, sf).select("doc_id", "label", "text")
+        features_, model, valid = training.train_text_classifier(rows, ["doc_id"], split_first=split_first)
+        _fitted[key] = features_, model, settle(valid)
+    return _fitted[key]
 
 
 def classifier_fit(spark, sf):

@@ -114,12 +114,15 @@ def termed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dirty_train(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents as people label: keys with blanks, in few values, labels in any case."""
-    rows = train(spark, sf)
+    """Labelled documents as people label: each row up to three times (``copy``), with blanks around keys, labels in any case.
+
+    The key is the language, the whole title and the source, so documents that begin alike are copies as well.
+    """
+    rows = train(spark, sf).withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))))
+    blank = F.when(F.col("copy") == 0, "").when(F.col("copy") == 1, " ").otherwise("\t")
     return rows.withColumns({
-        "video_id": F.concat(F.lit(" v"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, " ").otherwise("\t")),
-        "title": F.concat(F.substring("title", 1, 1), F.lit(" ")), "tags": F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string")),
-        "label": F.when(F.col("doc_id") % 3 == 0, F.upper("label")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), F.initcap("label"), F.lit("\n")))
+        "video_id": F.concat(F.lit(" "), "country_code", blank), "title": F.concat("title", blank), "tags": F.concat(blank, "channelTitle"),
+        "label": F.when(F.col("copy") == 0, F.upper("label")).when(F.col("copy") == 1, F.concat(F.lit(" "), F.initcap("label"), F.lit("\n")))
         .otherwise(F.col("label"))})
 
 
