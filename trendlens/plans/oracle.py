@@ -409,6 +409,8 @@ SELECT doc_id, lang AS country_code FROM documents WHERE regexp_matches(text, {_
     "incremental_lookup": f"""{_KNOWN_PARTS}
 SELECT coalesce(country_code, 'XX') AS country_code, count(*) AS n FROM lineitem
 LEFT JOIN known ON CASE WHEN l_partkey % 5 = 0 THEN -l_partkey ELSE l_partkey END = video_id GROUP BY 1""",
+    "incremental_first_seen": """SELECT sha1(split_part(text, chr(10), 1)) AS title_sha1, lang FROM documents
+WHERE text IS NOT NULL AND lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title_sha1 ORDER BY doc_id) = 1""",
     "dedup_train": f"""{TRAIN} SELECT doc_id, label FROM train
 QUALIFY row_number() OVER (PARTITION BY country_code, {_strip("title")}, "channelTitle" ORDER BY doc_id) = 1""",
     "token_counts": f"""WITH words AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)

@@ -354,6 +354,16 @@ def incremental_lookup(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("country_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+def incremental_first_seen(spark, sf):
+    """The language each title was first seen with, kept as the state of a stream of documents."""
+    folder = _stream_folder(spark, sf, "first-seen")
+    rows = incremental.record_stream(spark, sf, "documents.parquet").select(
+        F.sha1(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_sha1"), "lang", "doc_id")
+    changes = incremental.first_seen_updates(rows, "title_sha1", "lang", ["doc_id"])
+    incremental.run_once(changes, f"{folder}/state", f"{folder}/out", mode="update")
+    return incremental.first_seen_now(spark, f"{folder}/out", "title_sha1", "lang", ["doc_id"])
+
+
 def incremental_label(spark, sf):
     """The same labels as a batch, from a file stream with a checkpoint."""
     folder = _stream_folder(spark, sf, "label")
@@ -578,6 +588,7 @@ QUERIES = {
     "incremental_label": incremental_label,
     "incremental_candidates": incremental_candidates,
     "incremental_lookup": incremental_lookup,
+    "incremental_first_seen": incremental_first_seen,
     "dedup_train": dedup_train,
     "token_counts": token_counts,
     "ngram_vocab": ngram_vocab,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trendlens.functions import fixed
 from trendlens.functions.text import has_keyword, joined_text
+from trendlens.operators.lookups import first_seen
 from trendlens.session import join_hot
 from trendlens.sources.records import existing
 from trendlens.sources.sinks import AS_IS
@@ -29,7 +32,8 @@ def record_stream(
     return reader.parquet(folder)
 
 
-def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = None, csv: bool = False) -> None:
+def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = None, csv: bool = False,
+             mode: str = "append") -> None:
     """Process what is new since the last run and stop.
 
     Every micro-batch writes its own folder ``batch=<id>`` and overwrites it
@@ -47,7 +51,7 @@ def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = Non
             done.write.mode("overwrite").parquet(target)
 
     query = (
-        rows.writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(write).outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,3 +75,50 @@ def lookup_step(known: DataFrame, key: str, value: str, default: str) -> Step:
 
     return step
 
+
+
+def _place(row: dict, order: list[str]) -> tuple:
+    """A comparable order: nulls first."""
+    return tuple((row[c] is not None, row[c]) for c in order)
+
+
+def _rows(pdf: pd.DataFrame) -> list[dict]:
+    return pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+
+
+def first_seen_updates(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """Changes of a first-seen map on a stream: (key, value, order…) whenever a key gets an earlier row than all before.
+
+    The state holds one row per key that was ever seen, so keys of earlier batches and earlier runs count. Copies of a key are
+    folded before the shuffle. ``first_seen_now`` makes the map of the changes, the same as ``lookups.first_seen`` of all rows.
+    """
+    columns = [key, value, *order]
+    known = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(*columns)
+
+    def fold_copies(pdfs):
+        for pdf in pdfs:
+            best: dict = {}
+            for r in _rows(pdf):
+                if r[key] not in best or _place(r, order) < _place(best[r[key]], order):
+                    best[r[key]] = r
+            if best:
+                yield pd.DataFrame(list(best.values()), columns=columns)
+
+    def fold(_, pdfs, state):
+        held = dict(zip(columns, state.get)) if state.exists else None
+        best = held
+        for pdf in pdfs:
+            for r in _rows(pdf):
+                if best is None or _place(r, order) < _place(best, order):
+                    best = r
+        if best is not held:
+            state.update(tuple(best[c] for c in columns))
+            yield pd.DataFrame([best], columns=columns)
+
+    return known.mapInPandas(fold_copies, known.schema).groupBy(key).applyInPandasWithState(
+        fold, known.schema, known.schema, "update", GroupStateTimeout.NoTimeout)
+
+
+def first_seen_now(spark: SparkSession, out: str, key: str, value: str, order: list[str]) -> DataFrame:
+    """(key, value): the map after all changes that were written to ``out``."""
+    return first_seen(spark.read.parquet(out), key, value, order)
