@@ -114,3 +114,22 @@ def test_observed_metrics(spark, folder):
     df, seen = metrics.observed(spark.range(100), rows=F.count(F.lit(1)), even=F.sum((F.col("id") % 2 == 0).cast("int")))
     df.write.parquet(f"{folder}/out")
     assert metrics.metrics_frame(df, seen).first().asDict() == {"rows": 100, "even": 50}
+
+
+@pytest.mark.parametrize("size", [21, 50, 10 ** 6])
+def test_long_series_is_cut_in_blocks(spark, size):
+    """One country holds nearly all rows; blocks with a halo give what one window over the series gives."""
+    rows = [("hot" if i % 40 else f"c{i % 3}", i, (i * 7919) % 13 - 3 if i % 11 else None) for i in range(700)] + [(None, 3, 1), (None, 9, 2)]
+    panel = spark.createDataFrame(rows, "country_code string, date_clean int, n int")
+    done = windows.with_rolling_sums(windows.with_lags(panel, "n", 7, size), "n", range(1, 22), "sum", size)
+    series, want = {}, {}
+    for country, day, n in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        before = series.setdefault(country, [])
+        lags = [(before[-k] if len(before) >= k else None) or 0 for k in range(1, 8)]
+        before.append(n)
+        sums = [[x for x in before[-t:] if x is not None] for t in range(1, 22)]
+        want[country, day] = (n, *lags, *(sum(x) if x else None for x in sums))
+    assert {(r.country_code, r.date_clean): tuple(r)[2:] for r in done.collect()} == want
+    assert done.count() == len(rows)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block" in line for line in plan.splitlines() if line.strip(" +-:").startswith("Window"))
