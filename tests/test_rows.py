@@ -113,6 +113,19 @@ def test_no_group_is_ranked_in_one_window(skewed):
                 assert "_bucket" in line.split("],")[1]
 
 
+def test_medians_of_a_skewed_group(spark, attach):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([0.25, 0.5, rng.random()])) for _ in range(2000)] + [("one", -1.5), ("two", 1.0), ("two", 4.0), ("ties", 2.0)]
+    rows += [("ties", 2.0)] * 50 + [("ties", 3.0), ("none", None), ("hot", None)]
+    want = {}
+    for c, v in rows:
+        if v is not None:
+            want.setdefault(c, []).append(v)
+    df = spark.createDataFrame(rows, "c string, v double").repartition(7)
+    got = {r.c: r.median for r in ranking.medians(df, ["c"], "v").collect()}
+    assert got == {c: float(np.median(v)) for c, v in want.items()}
+
+
 @pytest.mark.parametrize("max_bits", [28, 8])
 def test_exclude_signed_by_bloom_filter(spark, max_bits):
     rows = [(i, f"t{i % 700}" if i % 50 else None, "c") for i in range(3000)] + [(3000 + i, "hot", "c") for i in range(500)]

@@ -159,3 +159,29 @@ def drop_first(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
     rows = df.dropna(subset=by)
     cut = attach_small(rows, _cutoffs(rows, by, order, n), by, "inner")
     return cut.filter(F.struct(*order) > F.col("_cut")).select(df.columns)
+
+
+def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median of the non-null values of each group.
+
+    Equal values are counted first; the distinct ones are placed in one distributed order, in which a group is a run of any
+    length. Counts per partition and group, added up, tell where the middle ranks lie; no task holds a group's values.
+    Group columns must not be null.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = settle(counts.orderBy(*by, value).withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)))
+    sizes = placed.groupBy("_part", *by).agg(F.sum("_n").alias("_size"))
+    group = W.partitionBy(*by)
+    offsets = settle(sizes.select(
+        "_part", *by, F.sum("_size").over(group).alias("_total"),
+        F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start")))
+    inside = W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.col("_start") + F.col("_inside")
+    ranked = attach_small(placed.withColumn("_inside", F.sum("_n").over(inside)), offsets, ["_part", *by], "inner")
+
+    def at(rank: Column) -> Column:
+        return F.when((upto - F.col("_n") < rank) & (rank <= upto), F.col(value))
+
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    middle = ranked.select(*by, at(low).alias("_low"), at(high).alias("_high")).filter("_low IS NOT NULL OR _high IS NOT NULL")
+    return middle.groupBy(*by).agg(((F.max("_low") + F.max("_high")) / 2).alias(name))

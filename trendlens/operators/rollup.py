@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.functions.values import olympic_flag, replaced, share, sport_flag
+from trendlens.operators.ranking import medians
+from trendlens.session import settle
 
 
 def country_day_panel(df: DataFrame, label: str = "predicted_label") -> DataFrame:
@@ -87,12 +89,6 @@ def dispersion(panel: DataFrame, col: str = "sports_videos") -> DataFrame:
 
 def country_sizes(panel: DataFrame, country: str = "country_code_iso3") -> DataFrame:
     """Mean videos, mean sport videos and exact median sport share per country."""
-    return (
-        panel.dropna(subset=[country])
-        .groupBy(country)
-        .agg(
-            F.avg("videos").alias("videos"),
-            F.avg("sports_videos").alias("sports_videos"),
-            F.median("sports_pct").alias("sports_pct"),
-        )
-    )
+    rows = settle(panel.dropna(subset=[country]).select(country, "videos", "sports_videos", "sports_pct"))
+    means = rows.groupBy(country).agg(F.avg("videos").alias("videos"), F.avg("sports_videos").alias("sports_videos"))
+    return means.join(medians(rows, [country], "sports_pct", "sports_pct"), country, "left")
