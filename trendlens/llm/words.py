@@ -42,9 +42,27 @@ def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
 
 
-def digests(words: list[bytes]) -> np.ndarray:
-    """BLAKE2 digests of 128 bits, as an array (words, 2) of unsigned 64-bit integers."""
-    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").reshape(-1, 2)
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of 128 bits of slices of bytes, as an array (slices, 2) of unsigned 64-bit integers.
+
+    Up to 15 bytes and their number are 128 bits themselves, stirred by steps that can be undone, so no two short words share
+    a digest; longer ones have a BLAKE2 digest.
+    """
+    length = ends - starts
+    own = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(16, np.uint8)), 16)[starts]
+    own *= np.arange(16) < length[:, None]
+    own[:, 15] = np.minimum(length, 255)
+    low, high = own.view("<u8").T
+    low = low + mix(high ^ np.uint64(0x2545F4914F6CDD1D))
+    high = high + mix(low ^ np.uint64(0xD6E8FEB86659FD93))
+    low = low + mix(high)
+    out = np.stack([low, high], axis=1)
+    long = np.flatnonzero(length > 15)
+    if len(long):
+        codes, words = distinct_slices(raw, starts[long], ends[long])
+        found = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").reshape(-1, 2)
+        out[long] = found[codes]
+    return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -83,8 +101,7 @@ def text_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     Returns bytes, word starts, word ends, the first word of each row (one more than rows), word digests (words, 2).
     """
     raw, starts, ends, first = text_spans(texts, lower)
-    codes, words = distinct_slices(raw, starts, ends)
-    return raw, starts, ends, first, digests(words)[codes]
+    return raw, starts, ends, first, word_digests(raw, starts, ends)
 
 
 def char_classes() -> np.ndarray:
