@@ -2,21 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from math import prod
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.BooleanType)
+
+
+def packed(df: DataFrame, columns: list[str], codes: tuple[str, ...] = ()) -> tuple[Column, Callable] | None:
+    """The columns as one long that sorts like them (nulls first), and what gives them back from a long.
+
+    Whole numbers, days and flags count from their least value; strings are taken if named in ``codes``, by their
+    bytes. One pass over these columns finds how many values each can have. None if they do not fit into 63 bits,
+    if a column is of another type, or if there are no rows.
+    """
+    types = {c: df.schema[c].dataType for c in columns}
+    strings = [c for c in columns if types[c] == T.StringType() and c in codes]
+    if df.isStreaming or not all(c in strings or isinstance(types[c], WHOLE) for c in columns):
+        return None
+
+    def number(c: str) -> Column:
+        return (F.unix_date(c) if isinstance(types[c], T.DateType) else F.col(c)).cast("long")
+
+    ends = [(F.min(F.octet_length(c)), F.max(F.octet_length(c)), F.max(F.instr(c, "\0"))) if c in strings
+            else (F.min(number(c)), F.max(number(c)), F.lit(0)) for c in columns]
+    found = df.agg(*[e.alias(f"_{i}_{j}") for i, es in enumerate(ends) for j, e in enumerate(es)]).first()
+    low, high, nul = (found[k::3] for k in range(3))
+    if all(v is None for v in low) or any(nul):  # a string with a NUL could not be told from a shorter one
+        return None
+    width = {c: max(1, h or 0) for c, h in zip(columns, high)}
+    sizes = [2 + (256 ** width[c] - 1 if c in strings else (h or 0) - (lo or 0)) for c, lo, h in zip(columns, low, high)]
+    if prod(sizes) >= 1 << 63:
+        return None
+    whole = F.lit(0).cast("long")
+    for c, lo, n in zip(columns, low, sizes):
+        if c in strings:
+            place = F.conv(F.rpad(F.hex(c), 2 * width[c], "0"), 16, 10).cast("long") + 1
+        else:
+            place = number(c) - F.lit(lo or 0) + 1
+        whole = whole * F.lit(n) + F.coalesce(place, F.lit(0).cast("long"))
+
+    def unpacked(value: Column) -> list[Column]:
+        out = []
+        for i, (c, lo, n) in enumerate(zip(columns, low, sizes)):
+            place = F.call_function("div", value, F.lit(prod(sizes[i + 1:]))) % F.lit(n) - 1
+            if c in strings:
+                text = F.rtrim(F.decode(F.unhex(F.lpad(F.hex(place), 2 * width[c], "0")), "UTF-8"), F.lit("\0"))
+            elif isinstance(types[c], T.DateType):
+                text = F.date_from_unix_date((place + F.lit(lo or 0)).cast("int"))
+            else:
+                text = (place + F.lit(lo or 0)).cast(types[c])
+            out.append(F.when(place >= 0, text).alias(c))
+        return out
+
+    return whole, unpacked
 
 
 def keep_first(
-    df: DataFrame, key: list[str], order: list[str], drop_null_keys: bool = False, keep: list[str] | None = None
+    df: DataFrame, key: list[str], order: list[str], drop_null_keys: bool = False, keep: list[str] | None = None,
+    codes: tuple[str, ...] = (),
 ) -> DataFrame:
     """The row that comes first in ``order`` for each key, all columns or those in ``keep``.
 
     Copies of one key are folded in the map tasks, so a key that holds a third
-    of the rows sends one row per task.
+    of the rows sends one row per task. Where ``order`` and the columns fit into one long (``packed``), its minimum is a
+    hash aggregate; otherwise the rows of each task are sorted by key.
     """
     rows = df.dropna(subset=key) if drop_null_keys else df
     columns = keep or df.columns
     rest = [c for c in columns if c not in key]
+    names = list(dict.fromkeys([*order, *rest]))
+    if found := packed(rows, names, codes):
+        whole, unpacked = found
+        least = rows.groupBy(*key).agg(F.min(whole).alias("_packed"))
+        back = [c for c, name in zip(unpacked(F.col("_packed")), names) if name in rest]
+        return least.select(*key, *back).select(columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return rows.groupBy(*key).agg(first).select(*key, "_row.*").select(columns)
 

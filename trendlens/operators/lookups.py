@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.functions.text import signature
+from trendlens.operators.dedupe import keep_first
 from trendlens.session import join_hot, settle
 
 
 def first_seen(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """(key, value): the first non-null value seen for each non-null key."""
     known = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+    return keep_first(known, [key], order, keep=[key, value], codes=(value,))
 
 
 def _without(df: DataFrame, col: str) -> DataFrame:
