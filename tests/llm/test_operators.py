@@ -471,6 +471,53 @@ def test_warc_round_trip(spark, folder):
     assert warc.read_warc(spark, folder + "/none").count() == 0
 
 
+def test_warc_long_payloads_and_starts_within(spark, folder):
+    """One archive; payloads that hold record starts, end in parts of one, or are longer than a batch of the text reader's buffer."""
+    texts = ["\nWARC/1.1\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\n" * 50, "é" * 3_000_000, "\r\n\r\n\nWAR", "\nWARC/", "\n", "x"]
+    frame = table(spark, list(enumerate(texts)), "page_id long, html string").selectExpr("*", "'u' AS url").coalesce(1)
+    warc.write_warc(warc.with_types(frame), folder + "/w")
+    found = warc.assemble(warc.read_warc(spark, folder + "/w")).collect()
+    assert {r.metadata.page_id: bytes(r.response.payload).decode() for r in found} == dict(enumerate(texts))
+    bare = warc.read_warc(spark, folder + "/w", payloads=False).where("record_type = 'response'").collect()
+    assert sorted(r.payload_bytes for r in bare) == sorted(len(t.encode()) for t in texts) and not any(r.payload for r in bare)
+
+
+def test_warc_of_other_programs(spark, folder):
+    """A gzip member per record, names in any case, base 32 digests, continued lines, records of other types, no HTTP header."""
+    import base64
+    import gzip
+    import os
+
+    def record(kind, rid, block, *more):
+        head = [b"WARC/1.0", b"warc-type:" + kind, b"WARC-RECORD-ID:   " + rid, *more, b"Content-length: %d" % len(block)]
+        return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"\xff\x00 not text \nWARC/1.0"
+    digest = b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest())
+    parts = [record(b"warcinfo", b"<i>", b"software: other\r\n"),
+             record(b"response", b"<a>", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body, digest, b"WARC-Target-URI: http://a/\r\n b"),
+             record(b"request", b"<q>", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Concurrent-To: <a>"),
+             record(b"metadata", b"<m>", b"fetchTimeMs: 5\r\n", b"WARC-Concurrent-To: <a>"),
+             record(b"response", b"<dns>", b"20240101\r\na. 1 IN A"), record(b"revisit", b"<v>", b"", b"WARC-Refers-To: <a>", digest)]
+    os.makedirs(folder + "/w")
+    for name, data in (("a", parts), ("b", [])):
+        with open(f"{folder}/w/{name}.warc.gz", "wb") as f:
+            f.write(b"".join(data) or gzip.compress(b""))
+    rows = {r.record_id: r for r in warc.read_warc(spark, folder + "/w").collect()}
+    assert [rows[k].record_type for k in ("<i>", "<a>", "<q>", "<m>", "<dns>", "<v>")] == ["warcinfo", "response", "request", "metadata", "response", "revisit"]
+    assert bytes(rows["<a>"].payload) == body and rows["<a>"].target == "http://a/ b"
+    assert rows["<v>"].payload_digest == rows["<a>"].payload_digest == hashlib.sha1(body).hexdigest() and rows["<v>"].payload_bytes is None
+    assert bytes(rows["<dns>"].payload) == b"20240101\r\na. 1 IN A" and rows["<m>"].page_id is None
+    whole = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, folder + "/w")).collect()}
+    assert set(whole) == {"<a>", "<dns>", "<v>"} and whole["<a>"].request and whole["<a>"].metadata and not whole["<dns>"].request
+    plain = gzip.decompress(b"".join(parts))
+    os.makedirs(folder + "/cut")
+    with open(folder + "/cut/c.gz", "wb") as f:
+        f.write(gzip.compress(plain[:plain.index(b"not text")]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_warc(spark, folder + "/cut").collect()
+
+
 # ---------------------------------------------------------------- 10 fingerprints
 
 def test_fingerprints_edit_and_order(spark):

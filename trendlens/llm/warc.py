@@ -2,8 +2,9 @@
 
 Each capture is three records: the request, the response (or a revisit of an equal payload), and a metadata record;
 request and metadata name the response's record id as concurrent-to. Archives are written by Spark's text writer with
-the record separator as line separator, so they go wherever Spark can write; they are read by Spark's binary reader and
-cut by Content-Length. Transaction assembly joins the records through their concurrent-to ids to one nested row per
+the record separator as line separator, so they go wherever Spark can write; they are read by Spark's text reader, which
+streams, in pieces between record starts, and cut by Content-Length. A task holds one record and one batch of pieces at a
+time, however long an archive is; its records are one string each, so at most 2 GB. Transaction assembly joins the records through their concurrent-to ids to one nested row per
 capture.
 
 Of equal payloads of at least ``min_revisit`` bytes the one with the largest page_id is the response, the others revisit
@@ -15,6 +16,9 @@ blanks and control characters in a url are percent-encoded; further columns are
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,7 @@ from pyspark.sql.types import StructType
 from trendlens.session import scratch_dir, settle
 
 CRLF = "\r\n"
+START = b"\nWARC/"  # begins with its only line end, so it cannot overlap itself
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = ("record_type string, record_id string, concurrent_to string, refers_to string, target string, page_id long, "
            "payload_digest string, payload_bytes long, payload binary")
@@ -88,62 +93,103 @@ def records(captures: DataFrame) -> DataFrame:
     return captures.select(F.concat_ws(CRLF * 2, response, request, metadata).alias("record"))
 
 
-def write_warc(captures: DataFrame, folder: str, per_file: int = 2_000) -> None:
-    """Write archives. Each record is followed by two line ends, as the format wants; files hold ``per_file`` captures."""
+def write_warc(captures: DataFrame, folder: str, per_file: int = 0) -> None:
+    """Write archives. Each record is followed by two line ends, as the format wants.
+
+    A file holds what one task has, so its bytes follow the session's split and shuffle partition sizes, whatever the
+    size of a page; at most ``per_file`` captures if that is given.
+    """
     (records(captures).write.option("lineSep", CRLF * 2).option("compression", "gzip")
      .option("maxRecordsPerFile", per_file).text(folder))
 
 
-def read_warc(spark, folder: str) -> DataFrame:
-    """All records of the archives in a folder. A file is read by one task and cut record by record."""
+def _fields(lines: bytes) -> dict[str, str]:
+    """Header lines by name in lower case; of a repeated name the first. A line that begins with a blank goes on."""
+    out: dict[str, str] = {}
+    for line in lines.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split(CRLF):
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _record(head: dict[str, str], block: bytes) -> dict:
+    """A row of ``RECORDS``. Raises if a payload and its SHA-1 differ."""
+    kind = head.get("warc-type", "").lower()
+    row = {"record_type": kind, "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"),
+           "refers_to": head.get("warc-refers-to"), "target": head.get("warc-target-uri")}
+    if kind in ("response", "revisit"):
+        top, end, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+        name, _, said = head.get("warc-payload-digest", "").partition(":")
+        if name.lower() == "sha1" and len(said) == 32:
+            said = base64.b32decode(said.upper()).hex()
+        if kind == "response":
+            row |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
+            if name.lower() == "sha1" and said.lower() != row["payload_digest"]:
+                raise ValueError(f"payload and digest differ in {row['record_id']}")
+        else:
+            length = _fields(top).get("content-length", "")
+            row |= {"payload_bytes": int(length) if length.isdigit() else None,
+                    "payload_digest": said.lower() if name.lower() == "sha1" else None}
+    elif kind == "metadata":
+        value = _fields(block).get("page_id", "")
+        row["page_id"] = int(value) if value.removeprefix("-").isdigit() else None
+    return row
+
+
+def _cut(pieces):
+    """(header fields, block) of each record, from (archive, piece) in order; pieces were parted by START.
+
+    A block may hold START itself: then pieces are added until the record has the length it states.
+    """
+    name, held, size, need = None, [], 0, 0
+    for archive, piece in itertools.chain(pieces, [(None, b"")]):
+        if archive != name:
+            if b"".join(held).strip():
+                raise ValueError(f"{name} ends within a record")
+            name, held, size, need = archive, [piece], len(piece), 0
+        else:
+            held += [START, piece]
+            size += len(START) + len(piece)
+        while size >= need:
+            data = b"".join(held).lstrip(b"\r\n")
+            stop = data.find(b"\r\n\r\n")
+            held, size, need = [data], len(data), 0
+            if stop < 0:
+                break
+            head = _fields(data[:stop])
+            need = stop + 4 + int(head["content-length"])
+            if size >= need:
+                yield head, data[stop + 4: need]
+                held, size, need = [data[need:]], size - need, 0
+
+
+def read_warc(spark, folder: str, payloads: bool = True) -> DataFrame:
+    """All records of the archives (``*.gz``) in a folder, other programs' as well; ``payloads=False`` leaves ``payload`` null.
+
+    Header names may be in any case, digests in hex or base 32. ``page_id`` is a field of metadata records (null if
+    there is none or no number); a response without an HTTP header is all payload; payloads with a SHA-1 are checked
+    against it. An archive that ends within a record is an error.
+    """
     def cut(batches):
-        import gzip
-        import hashlib
-
         import pyarrow as pa
 
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, out, held = 0, [], 0
-                while at < len(data):
-                    stop = data.index(b"\r\n\r\n", at)
-                    head = dict(line.split(": ", 1) for line in data[at:stop].decode().split(CRLF)[1:])
-                    begin = stop + 4
-                    end = begin + int(head["Content-Length"])
-                    kind = head["WARC-Type"]
-                    row = {"record_type": kind, "record_id": head["WARC-Record-ID"],
-                           "concurrent_to": head.get("WARC-Concurrent-To"), "refers_to": head.get("WARC-Refers-To"),
-                           "target": head.get("WARC-Target-URI"), "payload_digest": None}
-                    if kind in ("response", "revisit"):
-                        split = data.index(b"\r\n\r\n", begin) + 4
-                        fields = dict(x.split(": ", 1) for x in data[begin:split - 4].decode().split(CRLF)[1:])
-                        if kind == "response":
-                            row["payload"] = data[split:end]
-                            row["payload_bytes"] = end - split
-                            row["payload_digest"] = hashlib.sha1(row["payload"]).hexdigest()
-                            if "sha1:" + row["payload_digest"] != head["WARC-Payload-Digest"]:
-                                raise ValueError("payload and digest differ in " + row["record_id"])
-                        else:
-                            row["payload_bytes"] = int(fields["Content-Length"])
-                            row["payload_digest"] = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    elif kind == "metadata":
-                        value = data[begin:end].decode().strip().removeprefix("page_id:").strip()
-                        row["page_id"] = int(value) if value else None
-                    out.append(row)
-                    held += end - begin
-                    at = end + 4
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out, held = [], 0
+        pieces = ((archive, piece) for batch in batches for archive, piece in zip(
+            batch.column(0).to_pylist(), (v.as_py() for v in batch.column(1))))
+        out, held = [], 0
+        for head, block in _cut(pieces):
+            out.append(_record(head, block) if payloads else _record(head, block) | {"payload": None})
+            held += len(block) + 1_000
+            if held > 4 << 20:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out, held = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(StructType.fromDDL(RECORDS))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    return files.mapInArrow(cut, RECORDS)
+    pieces = spark.read.option("lineSep", START.decode()).option("pathGlobFilter", "*.gz").text(folder)
+    return pieces.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(cut, RECORDS)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -163,7 +209,7 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), "url", "html")
     folder = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(with_types(pages), folder)
-    captures = assemble(read_warc(spark, folder).drop("payload", "target"))
+    captures = assemble(settle(read_warc(spark, folder, payloads=False).drop("payload", "target")))
     rows = settle(captures.select(
         F.col("metadata.page_id").alias("page_id"), "response.record_id", "response.payload_bytes",
         "response.payload_digest", "response.record_type", F.col("response.refers_to").alias("refers_id")))
