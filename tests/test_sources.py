@@ -159,6 +159,25 @@ def test_incremental_runs_take_new_files_once(spark, folder):
     assert run() == list(range(15))
 
 
+def test_stream_of_a_named_table(spark, folder):
+    """The table may be one file or a folder of part files; other tables beside it are not read."""
+    spark.range(0, 10).repartition(3).write.parquet(f"{folder}/parts/documents.parquet")
+    spark.range(50, 60).write.parquet(f"{folder}/parts/pages.parquet")
+    os.makedirs(f"{folder}/files")
+    for name in ("documents", "pages"):
+        spark.read.parquet(f"{folder}/parts/{name}.parquet").toPandas().to_parquet(f"{folder}/files/{name}.parquet")
+    for place in ("parts", "files"):
+        def run():
+            rows = incremental.record_stream(spark, f"{folder}/{place}", "documents.parquet")
+            incremental.run_once(rows, f"{folder}/{place}-state", f"{folder}/{place}-out")
+            return sorted(r["id"] for r in spark.read.parquet(f"{folder}/{place}-out").collect())
+
+        assert run() == list(range(10))
+    spark.range(10, 12).write.mode("append").parquet(f"{folder}/parts/documents.parquet")
+    place = "parts"
+    assert run() == list(range(12))
+
+
 def test_stream_static_lookup(spark, folder):
     spark.createDataFrame([("v1",), ("v2",)], "video_id string").write.parquet(f"{folder}/in")
     known = spark.createDataFrame([("v1", "BR")], "video_id string, country_code string")

@@ -22,14 +22,17 @@ Step = Callable[[DataFrame], DataFrame]
 def record_stream(
     spark: SparkSession, folder: str, glob: str | None = None, max_files: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as they arrive; the schema is that of the files there now."""
-    static = spark.read.parquet(f"{folder}/{glob}" if glob else folder)
-    reader = spark.readStream.schema(static.schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    """Parquet files of a folder as they arrive; the schema is that of the files there now.
+
+    ``glob`` names tables in the folder; each may be a file or a folder of part files.
+    """
+    path = f"{folder}/{glob}" if glob else folder
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    if glob and not set(glob) & set("*?[]{}\\"):
+        path = f"{folder}/{{{glob}}}"  # a stream takes a plain path for a folder, a pattern for either
+    return reader.parquet(path)
 
 
 def run_once(rows: DataFrame, checkpoint: str, out: str, step: Step | None = None, csv: bool = False,
