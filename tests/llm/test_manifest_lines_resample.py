@@ -109,6 +109,26 @@ def brute_lines(rows, least):
     return out
 
 
+def test_line_stages_have_an_effect(spark, folder, monkeypatch):
+    """A key found common in a merge is left out of later batches; asking for the common keys writes nothing."""
+    docs = [(i, f"always\nown {i}\npair {i // 2}") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    always, held, unchanged = hashlib.md5(b"always").digest(), [], []
+    frequent = lines.LineRuns.frequent
+
+    def spied(runs):
+        before = dict(runs.tables), dict(runs.runs)
+        held.append(runs.spark.table(runs.tables[0]).where(F.col("line") == F.lit(always)).count())
+        found = frequent(runs)
+        unchanged.append(before == (runs.tables, runs.runs))
+        return found
+
+    monkeypatch.setattr(lines.LineRuns, "frequent", spied)
+    got = lines.op12_lines(spark, folder).collect()
+    assert len(got) == 300 and all((r["n_lines"], r["n_dropped"]) == (3, 1) for r in got)
+    assert held == [0] and unchanged == [True]
+
+
 def test_lines_brute_force(spark):
     texts = [None, "", "\n", "a", " A \n\tb\x0b\n\nÀ", "À\nà\n a", "b\r\nB\nb", "x" * 9000 + "\nA", "only\x1fa\nl1", "a\n\n\n"]
     rows = [(None if i % 9 == 0 else i // 2, "s", "en", 1, t) for i, t in enumerate(texts * 3)] + [(1, "s", "en", 1, "c\nd")] * 12

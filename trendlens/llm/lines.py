@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,13 +92,23 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {self.tables.pop(at)}")
 
     def frequent(self) -> DataFrame:
-        """All keys that enough documents hold: every level is merged into the next, so that each key's runs are added up."""
-        for level in sorted(self.runs):
-            if self.runs[level]:
-                self._merge(level)
-        if "common" not in self.tables:
+        """All keys that enough documents hold: the common run, and what the runs of all levels add up to.
+
+        Levels are merge-joined bucket by bucket; nothing is written, so that batches can be added afterwards. A single run of a
+        merged level has no such key.
+        """
+        levels = [level for level in sorted(self.runs) if self.runs[level]]
+        found = [self.spark.table(self.tables["common"]).select("line")] if "common" in self.tables else []
+        if levels and (levels[0] == 0 or sum(self.runs[level] for level in levels) > 1):
+            sums = None
+            for level in levels:
+                one = self.spark.table(self.tables[level]).groupBy("line").agg(F.sum("n").alias(f"_{level}"))
+                sums = one if sums is None else sums.join(one, "line", "full")
+            total = sum((F.coalesce(f"_{level}", F.lit(0)) for level in levels), F.lit(0))
+            found.append(sums.where(total >= self.min_docs).select("line"))
+        if not found:
             return self.spark.createDataFrame([], "line binary")
-        return self.spark.table(self.tables["common"]).select("line").distinct()
+        return reduce(DataFrame.unionByName, found).distinct()
 
     def close(self) -> None:
         """Forget all runs."""
@@ -124,7 +135,7 @@ def without_lines(docs: DataFrame, common: DataFrame, key: str = "doc_id", min_c
                        F.array_join(F.transform("keep", lambda i: F.get(F.col("lines"), i)), "\n").alias("kept"))
 
 
-BATCHES = 4
+BATCHES = 6  # more than the fanout, so that keys found common in the first merge are left out of later batches
 
 
 def op12_lines(spark, sf_dir: str) -> DataFrame:
