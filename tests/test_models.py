@@ -171,6 +171,21 @@ def test_pipeline_features_equal_the_table(spark):
     assert all(ml[k] == pytest.approx(table[k]) for k in ml)
 
 
+def test_documents_of_one_row_are_counted_without_a_shuffle(spark):
+    """Rows that share an id, or have none, still count as one document."""
+    rows = [(1, "aa bb aa"), (2, None), (3, "")]
+    more = [*rows, (4, "aa bb"), (4, "bb cc"), (None, "aa"), (None, "dd aa")]
+    alone = features.term_counts(spark.createDataFrame(rows, "id long, text string"), "id", "text", (1, 2))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, alone.collect())) == [(1, "aa", 2), (1, "aa bb", 1), (1, "bb", 1), (1, "bb aa", 1)]
+    df = spark.createDataFrame(more, "id long, text string")
+    got = {(r["id"], r["term"]): r["tf"] for r in features.term_counts(df, "id", "text", (1, 1)).collect()}
+    assert got == {(1, "aa"): 2, (1, "bb"): 1, (4, "aa"): 1, (4, "bb"): 2, (4, "cc"): 1, (None, "aa"): 2, (None, "dd"): 1}
+    weights = features.tfidf(df, "id", "text", (1, 1), max_df=1.0)
+    norms = weights.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    assert {r["id"] for r in norms} == {1, 4, None} and all(r["s"] == pytest.approx(1) for r in norms)
+
+
 def test_max_df_and_cap(spark):
     df = spark.createDataFrame([(i, f"common w{i % 3}") for i in range(9)], "id long, text string")
     counts = features.term_counts(df, "id", "text", (1, 1))

@@ -2,27 +2,94 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trendlens.functions.text import ngrams, tokens
 from trendlens.operators.ranking import with_position
-from trendlens.session import settle
+from trendlens.session import attach_small, settle
 
 MAX_FEATURES = 80_000  # fixed value: vocabulary cap, the bound on what is broadcast below
 MAX_DF = 0.98  # fixed value
 NGRAM_RANGE = (1, 3)  # fixed value
 
 
-def term_counts(df: DataFrame, doc: str, text: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> DataFrame:
-    """(doc, term, tf). A document's terms are counted in its own map task first."""
+def _counted(words: list[str] | None, lo: int, hi: int) -> Counter:
+    """A row's n-grams with their counts."""
+    found: Counter = Counter()
+    for n in range(lo, hi + 1):
+        found.update(map(" ".join, zip(*[(words or [])[i:] for i in range(n)])))
+    return found
+
+
+def _by_row(df: DataFrame, doc: str | None, text: str, ngram_range: tuple[int, int], idf: dict[str, float] | None = None) -> DataFrame:
+    """(doc, term, tf), each row counted where it is; with ``idf`` its terms only, and ``weight`` scaled to unit length."""
+    lo, hi = ngram_range
+    rows = df.select(*([doc] if doc else []), tokens(F.col(text)).alias("_words"))
+    out = StructType([f for f in rows.schema if f.name == doc]).add("term", "string").add("tf", "long")
+    out = out.add("weight", "double") if idf is not None else out
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):  # so few rows are Python objects at a time
+                part = batch.slice(at, 32)
+                sizes, terms, tfs, weights = [], [], [], []
+                for words in part.column("_words").to_pylist():
+                    found = _counted(words, lo, hi)
+                    if idf is not None:
+                        found = {t: n for t, n in found.items() if t in idf}
+                        raw = np.array([n * idf[t] for t, n in found.items()])
+                        weights.append(raw / np.sqrt(raw @ raw) if len(raw) else raw)
+                    sizes.append(len(found))
+                    terms += found.keys()
+                    tfs += found.values()
+                columns = {"term": pa.array(terms, pa.string()), "tf": pa.array(tfs, pa.int64())}
+                if doc:
+                    columns = {doc: part.column(doc).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))} | columns
+                if idf is not None:
+                    columns["weight"] = pa.array(np.concatenate(weights), pa.float64())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(count, out)
+
+
+def _single(df: DataFrame, doc: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that have their document id alone, and the others (null ids among them), if there are any."""
+    more = settle(df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(doc).isNull()).select(doc))
+    if more.isEmpty():
+        return df, None
+    known = df.filter(F.col(doc).isNotNull())
+    shared = attach_small(known, more, [doc], "left_semi").unionByName(df.filter(F.col(doc).isNull()))
+    return attach_small(known, more, [doc], "left_anti"), shared
+
+
+def _by_document(df: DataFrame, doc: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(doc, term, tf) where several rows may be one document: their terms meet in a shuffle."""
     words = df.select(doc, tokens(F.col(text)).alias("_words"))
     lo, hi = ngram_range
     grams = F.concat(*[ngrams(F.col("_words"), n) for n in range(lo, hi + 1)])
-    return (
-        words.select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return words.select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_counts(df: DataFrame, doc: str, text: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> DataFrame:
+    """(doc, term, tf). A document that is one row is counted in its own map task; only ids of several rows are shuffled."""
+    return _counts(*_single(df, doc), doc, text, ngram_range)
+
+
+def _counts(alone: DataFrame, shared: DataFrame | None, doc: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    counts = _by_row(alone, doc, text, ngram_range)
+    return counts if shared is None else counts.unionByName(_by_document(shared, doc, text, ngram_range))
+
+
+def row_term_counts(df: DataFrame, text: str, ngram_range: tuple[int, int] = NGRAM_RANGE) -> DataFrame:
+    """(term, tf) of every row, each a document of its own."""
+    return _by_row(df, None, text, ngram_range)
 
 
 def vocabulary(
@@ -51,10 +118,15 @@ def tfidf(
 ) -> DataFrame:
     """(doc, term, tf, weight): tf · (ln((1+n)/(1+df)) + 1), scaled to unit length per document."""
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    counts = settle(term_counts(df, doc, text, ngram_range))
-    vocab = vocabulary(counts, n_docs, max_features, min_df, max_df)
+    alone, shared = _single(df, doc)
+    vocab = settle(vocabulary(_counts(alone, shared, doc, text, ngram_range), n_docs, max_features, min_df, max_df))
     idf = vocab.select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("_idf"))
-    # at most max_features rows, so the frequent terms are not shuffled to one task
-    raw = counts.join(F.broadcast(idf), "term").withColumn("_raw", F.col("tf") * F.col("_idf"))
+    # at most max_features rows, so terms are looked up where the texts are
+    known = idf.toArrow()
+    weights = dict(zip(known.column("term").to_pylist(), known.column("_idf").to_pylist()))
+    done = _by_row(alone, doc, text, ngram_range, weights)
+    if shared is None:
+        return done
+    raw = _by_document(shared, doc, text, ngram_range).join(F.broadcast(idf), "term").withColumn("_raw", F.col("tf") * F.col("_idf"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(doc)))
-    return raw.select(doc, "term", "tf", (F.col("_raw") / norm).alias("weight"))
+    return done.unionByName(raw.select(doc, "term", "tf", (F.col("_raw") / norm).alias("weight")))
