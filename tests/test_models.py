@@ -186,6 +186,21 @@ def test_documents_of_one_row_are_counted_without_a_shuffle(spark):
     assert {r["id"] for r in norms} == {1, 4, None} and all(r["s"] == pytest.approx(1) for r in norms)
 
 
+def test_descent_needs_few_passes():
+    """A badly conditioned bowl: each pass is a run over all rows, so their number is what a fit costs."""
+    rng = np.random.default_rng(3)
+    scale, goal, passes = np.logspace(-5, 0, 60), rng.normal(size=60), 0
+
+    def objective(x):
+        nonlocal passes
+        passes += 1
+        return 0.5 * float(scale @ (x - goal) ** 2), scale * (x - goal)
+
+    x, gradient, _ = classifier._descend(objective, np.zeros(60), 1e-9, 10_000)
+    assert gradient <= 1e-9 and np.allclose(x, goal, atol=1e-3)
+    assert passes < 1_600  # 1,294; with ten remembered steps 1,964
+
+
 def test_max_df_and_cap(spark):
     df = spark.createDataFrame([(i, f"common w{i % 3}") for i in range(9)], "id long, text string")
     counts = features.term_counts(df, "id", "text", (1, 1))

@@ -7,10 +7,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
+    CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trendlens.functions.text import TOKEN
-from trendlens.operators.features import MAX_DF, MAX_FEATURES
+from trendlens.operators.features import MAX_DF, MAX_FEATURES, row_term_counts, vocabulary
 from trendlens.session import attach_small, settle
 
 
@@ -37,16 +37,16 @@ def fit_text_features(
     df: DataFrame, text: str = "text", max_features: int = MAX_FEATURES, min_df: int = 1, max_df: float = MAX_DF
 ) -> PipelineModel:
     """Word 1–3-gram tf-idf with smoothed idf (``ln((1+n)/(1+df)) + 1``) and unit rows."""
-    share = {"maxDF": max_df} if max_df < 1 else {}  # from 1 on the parameter would be a document count
-    counter = CountVectorizer(
-        inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=float(min_df), **share
-    )
-    counts = Pipeline(stages=[*_terms_stages(text), counter]).fit(df)
-    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counts.transform(df)).idf.toArray()
+    n_docs = F.lit(df.count())
+    # at most max_features rows, most frequent first
+    known = vocabulary(row_term_counts(df, text), n_docs, max_features, min_df, max_df).orderBy(F.desc("cf"), "term").select(
+        "term", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf")).toArrow()
+    counter = CountVectorizerModel.from_vocabulary(known.column("term").to_pylist(), inputCol="_terms", outputCol="_tf")
+    idf = known.column("idf").to_numpy()
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf + 1.0), inputCol="_tf", outputCol="_tfidf")
     unit = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")
     tidy = SQLTransformer(statement="SELECT * EXCEPT (_w1, _w2, _w3, _terms, _tf, _tfidf) FROM __THIS__")
-    return PipelineModel(stages=[*counts.stages, scale, unit, tidy])
+    return PipelineModel(stages=[*_terms_stages(text), counter, scale, unit, tidy])
 
 
 def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
@@ -68,6 +68,7 @@ def _sparse(df: DataFrame, features: str, *others: str) -> DataFrame:
     return df.select(*others, read).select(*others, size.alias("size"), at.alias("at"), F.col("v.values").alias("val"))
 
 
+MEMORY = 40  # steps the descent remembers, two vectors each; with few it takes twice the passes
 CHUNK = 8192  # gradient values in a row, so that adding up is spread over tasks
 
 
@@ -137,7 +138,7 @@ def _descend(objective, start: np.ndarray, tol: float, max_iter: int) -> tuple[n
             size /= 2
         s, y = new - x, g_new - g
         if s @ y > 1e-14 * np.sqrt((s @ s) * (y @ y)):
-            steps = [*steps[-9:], (s, y)]
+            steps = [*steps[1 - MEMORY:], (s, y)]
         x, f, g = new, f_new, g_new
     return x, float(np.abs(g).max()), max_iter
 
