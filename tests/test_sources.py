@@ -1,4 +1,5 @@
 import csv
+import glob
 import os
 import random
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
 from trendlens.operators import lookups
+from trendlens.plans import roundtrips
+from trendlens.session import scratch_dir
 from trendlens.sources import records, sinks
 from trendlens.streaming import incremental
 
@@ -140,6 +143,22 @@ def test_answers_append(spark, folder):
     assert [r["reason"] for r in got.collect()] == ['say "x"\nnow'] * 2
 
 
+def test_landed_files_grow_in_number(spark, folder):
+    """A table of more splits is dealt to more files, so no task's share grows with it."""
+    os.makedirs(folder, exist_ok=True)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('t ', id, repeat(' x', 50)) AS text", "'en' AS lang", "'s' AS source")
+    docs.repartition(24).write.parquet(f"{folder}/documents.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = roundtrips.landed_records(spark, folder).orderBy("ingest_seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r["ingest_seq"], r["video_id"]) for r in rows] == [(i, str(i)) for i in range(400)]
+    newest = max(glob.glob(f"{scratch_dir(spark)}/files-*/raw"), key=os.path.getmtime)
+    assert len(glob.glob(f"{newest}/en_*_trending_data.csv")) > 4
+
+
 def test_incremental_runs_take_new_files_once(spark, folder):
     src, out, state = f"{folder}/in", f"{folder}/out", f"{folder}/state"
     spark.range(0, 10).selectExpr("id", "concat('gold ', id) AS title").write.parquet(src)

@@ -41,7 +41,8 @@ def landed_records(spark, sf):
     docs = views.corpus(spark, sf).select(
         F.col("country_code").alias("country"), "video_id", "title", "description",
         F.lit("2024-07-27T23:30:00-05:00").alias("publishedAt"), F.lit("own").alias("country_code"), "doc_id")
-    dealt = docs.repartitionByRange(4, "country", "doc_id").sortWithinPartitions("country", "doc_id")
+    parts = max(4, views.table(spark, sf, "documents").rdd.getNumPartitions())  # as many as splits, so a task's share does not grow
+    dealt = docs.repartitionByRange(parts, "country", "doc_id").sortWithinPartitions("country", "doc_id")
     dealt.write.partitionBy("country").option("header", True).options(**sinks.AS_IS).csv(f"{folder}/parts")
     _name_by_country(spark, f"{folder}/parts", f"{folder}/raw")
     records.land_csv(spark, f"{folder}/raw/*_trending_data.csv", f"{folder}/landed")
