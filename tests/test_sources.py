@@ -10,7 +10,7 @@ from trendlens.functions import fixed
 from trendlens.operators import lookups
 from trendlens.plans import roundtrips
 from trendlens.session import scratch_dir
-from trendlens.sources import records, sinks
+from trendlens.sources import records, sinks, views
 from trendlens.streaming import incremental
 
 
@@ -221,3 +221,17 @@ def test_first_seen_state_survives_a_restart(spark, folder):
         assert sorted(map(tuple, now.collect())) == sorted(map(tuple, batch.collect()))
     assert dict(map(tuple, now.collect())) == {"a": "DE", "b": "BR", "c": "JP", "d": "IN", "hot": "KR"}
     assert spark.read.parquet(f"{folder}/out").filter("video_id = 'hot'").count() <= 4  # changes only, not rows
+
+
+def test_line_items_are_joined_last_and_not_sorted(spark, sf):
+    """Orders get their place first, so line items go through one shuffle and one hash join."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.videos(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "ShuffledHashJoin [l_orderkey" in joins[0] and len(joins) == 4
+    assert not any("l_" in line for line in plan.splitlines() if "Sort [" in line)
+    assert sum("Exchange hashpartitioning(l_" in line for line in plan.splitlines()) == 1

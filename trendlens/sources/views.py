@@ -21,12 +21,8 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
 
 
 def _placed(rows: DataFrame, spark: SparkSession, sf: str, custkey: str) -> DataFrame:
-    """Customer, nation and region, each joined to the big side; sizes decide the strategies."""
-    return (
-        rows.join(table(spark, sf, "customer"), F.col(custkey) == F.col("c_custkey"))
-        .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
+    """Rows with nation and region of their customer; sizes decide the strategies."""
+    return rows.join(places(spark, sf), F.col(custkey) == F.col("c_custkey"))
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,10 +36,13 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf: str, country: str = "r_name") -> DataFrame:
-    """Labelled trending records: one per line item."""
+    """Labelled trending records: one per line item.
+
+    Orders get their place first, so the line items, the big side, are shuffled once. Orders are hashed there, and no line item is sorted.
+    """
     items = spread(table(spark, sf, "lineitem", *ORDER, "l_returnflag"))
-    rows = items.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = _placed(rows, spark, sf, "o_custkey")
+    orders = _placed(table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate"), spark, sf, "o_custkey")
+    rows = items.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     label = F.when(F.col("l_returnflag") == "R", "olympic").when(F.col("l_returnflag") == "A", "other_sport")
     return rows.select(
         F.col("l_partkey").alias("video_id"), F.col(country).alias("country_code"),
