@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trendlens import session as session_module
 from trendlens.operators import dedupe, lookups, ranking, sampling
-from trendlens.plans import candidates
+from trendlens.plans import candidates, panel
 
 
 @pytest.fixture(scope="module")
@@ -96,6 +96,44 @@ def test_first_rows_by_hash(spark, skewed):
     assert sorted(map(tuple, slow.collect())) == sorted(map(tuple, plans[1].collect()))
 
 
+def test_first_rows_by_a_part_of_the_order(spark, monkeypatch):
+    """The order goes on with a double; rows that are alike in its whole numbers are told apart by it, whatever they keep."""
+    rnd = random.Random(3)
+    some = [(rnd.choice("ABC"), rnd.randrange(40), rnd.choice([None, -3, 0, 5]), rnd.choice([None, 1, 2]), n / 2, rnd.randrange(2)) for n in range(2000)]
+    twins = [("D", 1, 0, 1, 0.5, 1), ("D", 1, 0, 1, 0.25, 0), ("D", 2, 0, 1, 0.5, 0), ("D", 2, 0, 1, 0.25, 1), ("D", 3, 0, 1, 0.5, 1), ("D", 3, 0, 1, 0.5, 1)]
+    columns = "country_code string, video_id long, day int, a long, b double, flag int"
+    best = {}
+    for r in sorted(some + twins, key=lambda r: tuple((x is not None, x) for x in r[2:5])):
+        if r[2] is not None:
+            best.setdefault(r[:2], (r[2], r[5]))
+    keep = ["video_id", "country_code", "day", "flag"]
+    sorted_rows = []
+    real = dedupe._by_sorting
+    monkeypatch.setattr(dedupe, "_by_sorting", lambda rows, *rest: sorted_rows.append(rows.count()) or real(rows, *rest))
+    got = dedupe.first_appearance(spark.createDataFrame(some + twins, columns), ["a", "b"], "day", keep=keep, narrow=True).collect()
+    assert {(r["country_code"], r["video_id"]): (r["day"], r["flag"]) for r in got} == best and len(got) == len(best)
+    assert len(sorted_rows) == 1 and 4 <= sorted_rows[0] < 2000  # the tied keys' rows alone
+    clear = [r for r in twins if r[1] == 3] + [("E", 1, 0, 1, 1.0, 1), ("E", 1, 0, 2, 0.0, 0)]
+    got = dedupe.first_appearance(spark.createDataFrame(clear, columns), ["a", "b"], "day", keep=keep, narrow=True).collect()
+    assert sorted(map(tuple, got)) == [(1, "E", 0, 1), (3, "D", 0, 1)] and len(sorted_rows) == 1
+    huge = [("A", 1, 0, 2**62, 1.0, 1), ("A", 1, 0, -2**62, 2.0, 0), ("A", 2, 1, 7, 0.0, 1)]  # only the day fits
+    got = dedupe.first_appearance(spark.createDataFrame(huge, columns), ["a", "b"], "day", keep=keep, narrow=True).collect()
+    assert sorted(map(tuple, got)) == [(1, "A", 0, 0), (2, "A", 1, 1)]
+    none = dedupe.first_appearance(spark.createDataFrame([], columns), ["a", "b"], "day", keep=keep, narrow=True)
+    assert none.columns == keep and not none.collect()
+
+
+def test_panel_rows_are_not_sorted(spark, monkeypatch):
+    """An order with times and doubles does not fit into a long; the first appearances are hashed all the same."""
+    rows = [("v1", "BR", "2021-01-01", "non_sport", 0, 0.5), ("v1", "BR", "2021-01-01", "olympic", 1, 0.5), ("v2", "BR", "2021-01-20", None, 2, 0.5)]
+    df = spark.createDataFrame(rows, "video_id string, country_code string, publishedAt string, predicted_label string, n long, x double")
+    plans, real = [], panel.settle
+    monkeypatch.setattr(panel, "settle", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d))
+    found = panel.create_panel(df, ["n", "x"]).collect()
+    assert [(r["videos"], r["sports_videos"], r["olympic_videos"]) for r in found] == [(1, 1, 0)]
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 def test_keep_first_is_map_side_combined(skewed):
     plan = dedupe.keep_first(skewed, ["video_id"], ["seq"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
@@ -13,13 +13,22 @@ from trendlens.session import settle
 
 def country_day_panel(df: DataFrame, label: str = "predicted_label") -> DataFrame:
     """Videos, sport videos and olympic videos per country and day; empty days are absent."""
+    return panel_of_flags(df.withColumns(label_flags(label)))
+
+
+def label_flags(label: str = "predicted_label") -> dict[str, Column]:
+    return {"_sport": sport_flag(label), "_olympic": olympic_flag(label)}
+
+
+def panel_of_flags(df: DataFrame) -> DataFrame:
+    """``country_day_panel`` of rows with ``label_flags`` in the label's place."""
     return (
         df.dropna(subset=["country_code", "date_clean"])
         .groupBy("country_code", "date_clean")
         .agg(
             F.count(F.lit(1)).alias("videos"),
-            F.sum(sport_flag(label)).alias("sports_videos"),
-            F.sum(olympic_flag(label)).alias("olympic_videos"),
+            F.sum("_sport").alias("sports_videos"),
+            F.sum("_olympic").alias("olympic_videos"),
         )
     )
 

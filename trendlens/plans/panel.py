@@ -11,7 +11,7 @@ from trendlens.functions.values import day, mapped
 from trendlens.operators.dedupe import first_appearance
 from trendlens.operators.events import span, with_event_time, with_event_windows
 from trendlens.operators.ranking import drop_first
-from trendlens.operators.rollup import country_day_panel, daily_medals, with_medals, with_shares
+from trendlens.operators.rollup import country_day_panel, daily_medals, label_flags, panel_of_flags, with_medals, with_shares
 from trendlens.session import settle
 from trendlens.sources.records import union_all
 
@@ -55,13 +55,14 @@ def create_panel(
     dated = records.withColumn("date_clean", day(records, DAY_COLUMN[date_type]))
     if duplicates:
         return country_day_panel(dated, label)
-    narrow = dated.select(*dict.fromkeys(["video_id", "country_code", "date_clean", label, *order]))
-    first = first_appearance(narrow, order, keep=["video_id", "country_code", "date_clean", label])
+    flags = label_flags(label)
+    flagged = dated.withColumns(flags).select(*dict.fromkeys(["video_id", "country_code", "date_clean", *flags, *order]))
+    first = first_appearance(flagged, order, keep=["video_id", "country_code", "date_clean", *flags], narrow=True)
     if date_type == "published":
-        return trimmed_published(settle(country_day_panel(first, label)))
+        return trimmed_published(settle(panel_of_flags(first)))
     if trim_by == "days":
-        return trimmed_first_days(country_day_panel(first, label))
-    return country_day_panel(trimmed_first_rows(settle(first)), label)
+        return trimmed_first_days(panel_of_flags(first))
+    return panel_of_flags(trimmed_first_rows(settle(first)))
 
 
 def with_calendar(panel: DataFrame) -> DataFrame:

@@ -99,13 +99,19 @@ def dense_rolling(spark, sf):
 
 
 def _event(kind: str):
+    def studied(spark, sf):
+        """The full panel and the event's bounds, whose medals are read from the tables once."""
+        medals = views.medals(spark, sf)
+        medals[kind] = settle(medals[kind])
+        return panel.full_panel(_base_panel(spark, sf), medals, REGION_CODES), span(medals[kind])
+
     def line(spark, sf):
-        bounds = span(views.medals(spark, sf)[kind])
-        return _rounded(event_line(_full(spark, sf), bounds, f"event_time_{kind}"), "sports_pct")
+        full, bounds = studied(spark, sf)
+        return _rounded(event_line(full, bounds, f"event_time_{kind}"), "sports_pct")
 
     def bars(spark, sf):
-        bounds = span(views.medals(spark, sf)[kind])
-        return _rounded(event_bars(_full(spark, sf), bounds, f"event_time_{kind}"), "sports_pct", "centre")
+        full, bounds = studied(spark, sf)
+        return _rounded(event_bars(full, bounds, f"event_time_{kind}"), "sports_pct", "centre")
     return line, bars
 
 
