@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from trendlens.functions import fixed
@@ -201,6 +202,58 @@ def test_descent_needs_few_passes():
     assert passes < 1_600  # 1,294; with ten remembered steps 1,964
 
 
+def test_row_vocabulary_equals_the_count_of_all_ngrams(spark):
+    """Words, pairs and trigrams that the cap rules out are not counted; ties, nulls and capped shares come out the same."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(w), 90)}" for w in rng.zipf(1.4, size=rng.integers(0, 60))) for _ in range(120)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", "x", "w1 w1 w1 w1", "Été w1 w2"]], "text string").repartition(3)
+    n_docs = F.lit(df.count())
+    for cap, min_df, max_df in ((150, 1, 0.5), (400, 2, 0.98)):
+        got = features.row_vocabulary(df, "text", n_docs, cap, min_df, max_df)
+        want = features.vocabulary(features.row_term_counts(df, "text"), n_docs, cap, min_df, max_df)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_row_vocabulary_without_numbers_or_pairs(spark, monkeypatch):
+    """Too many words or pairs to be looked up: the whole count goes another way."""
+    df = spark.createDataFrame([("a1 b1 c1 d1",), ("a1 b1 c1 e1",), ("b1 c1 d1",)], "text string")
+    want = sorted(map(tuple, features.row_vocabulary(df, "text", F.lit(3), 6, 1, 1.0).collect()))
+    assert len(want) == 6
+    for limit in ("MAX_PAIRS", "MAX_WORDS"):
+        monkeypatch.setattr(features, limit, 1)
+        assert sorted(map(tuple, features.row_vocabulary(df, "text", F.lit(3), 6, 1, 1.0).collect())) == want
+
+
+def _sparse_rows(spark, n=1500, width=400):
+    """Rare and common features, one rare class: badly conditioned, as texts are."""
+    rng, rows = np.random.default_rng(7), []
+    for i in range(n):
+        at = np.unique(np.minimum(rng.zipf(1.3, size=40) - 1, width - 1))
+        val = rng.random(len(at)) + 0.1
+        label = "rare" if i % 50 == 0 else "odd" if (at % 3 == 0).mean() > 0.45 else "even"
+        rows.append((label, 20.0 if label == "rare" else 1.0, Vectors.sparse(width, at.tolist(), (val / np.linalg.norm(val)).tolist())))
+    rows += [("odd", 1.0, Vectors.sparse(width, [], [])), ("even", 1.0, Vectors.dense([0.05] * width))]
+    return spark.createDataFrame(rows, ["label", "weight", "features"]).repartition(3)
+
+
+def test_fit_takes_few_passes(spark, monkeypatch):
+    """Steps scaled by the curvature of some rows end at the same minimum after far fewer passes over all rows."""
+    df, passes, gradient = _sparse_rows(spark), [0], classifier._gradient
+    monkeypatch.setattr(classifier, "SAMPLE", 300)
+    monkeypatch.setattr(classifier, "_gradient", lambda *a: passes.__setitem__(0, passes[0] + 1) or gradient(*a))
+    model = classifier.fit_classifier(df, weight="weight")
+    assert model.converged and passes[0] < 30  # 22; 42 without
+    rows = [(r["label"], r["weight"], r["features"].toArray()) for r in df.collect()]
+    names = sorted({r[0] for r in rows})
+    x, w = np.array([[*r[2], 1.0] for r in rows]), np.array([r[1] for r in rows])
+    own = np.eye(3)[[names.index(r[0]) for r in rows]]
+    theta = np.column_stack([model.stages[0].coefficientMatrix.toArray(), model.stages[0].interceptVector.toArray()])
+    p = np.exp(x @ theta.T)
+    p /= p.sum(axis=1, keepdims=True)
+    left = ((p - own) * w[:, None]).T @ x + theta * np.append(np.ones(theta.shape[1] - 1), 0)
+    assert np.abs(left).max() / w.sum() <= 1.1e-7
+
+
 def test_max_df_and_cap(spark):
     df = spark.createDataFrame([(i, f"common w{i % 3}") for i in range(9)], "id long, text string")
     counts = features.term_counts(df, "id", "text", (1, 1))

@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,10 +102,22 @@ def vocabulary(
     it are sorted. ``n_docs`` is a column, usually a scalar subquery.
     """
     terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    kept = settle(terms.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)))
+    return _most_frequent(settle(terms.filter(_allowed(n_docs, min_df, max_df))), max_features)
+
+
+def _allowed(n_docs, min_df: int, max_df: float) -> Column:
+    return (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs)
+
+
+def _edge(kept: DataFrame, max_features: int) -> Row | None:
+    """The frequency at which the cap falls, with the numbers of terms at it and down to it; none below the cap."""
     sizes = kept.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.orderBy(F.desc("cf")))  # one short row per distinct frequency
-    edge = sizes.withColumn("upto", upto).filter(F.col("upto") >= max_features).orderBy("upto").first()
+    return sizes.withColumn("upto", upto).filter(F.col("upto") >= max_features).orderBy("upto").first()
+
+
+def _most_frequent(kept: DataFrame, max_features: int) -> DataFrame:
+    edge = _edge(kept, max_features)
     if edge is None:
         return kept
     left = max_features - (edge["upto"] - edge["n"])
@@ -112,6 +125,138 @@ def vocabulary(
     return kept.filter(F.col("cf") > edge["cf"]).unionByName(tied.filter(F.col("_place") < left).drop("_place"))
 
 
+CHUNK_WORDS = 1 << 20  # words counted together before they are shuffled
+BLOCK_WORDS = 1 << 16  # words in a stored row
+MAX_WORDS = 1 << 20  # numbered words, looked up where the texts are; three numbers fit into one long
+MAX_PAIRS = 1 << 21  # word pairs looked up where trigrams are counted
+UNKNOWN, END = -1, -2  # in place of a word's number; END after each row
+
+
+def _chunks(batches, column: str, sizes, most: int):
+    """Values of a column, as many together as make up ``most``, or one."""
+    held, total = [], 0
+    for batch in batches:
+        values, start = batch.column(column), 0
+        for at, n in enumerate(sizes(values).tolist()):
+            if total and total + n > most:
+                yield pa.concat_arrays([*held, values.slice(start, at - start)])
+                held, total, start = [], 0, at
+            total += n
+        held.append(values.slice(start))
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+
+
+def _tally(of: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, how often each comes, and in how many rows."""
+    values, at = np.unique(of, return_inverse=True)
+    rows = int(row[-1]) + 1 if len(row) else 1
+    pairs = np.unique(at * rows + row)
+    return values, np.bincount(at, minlength=len(values)), np.bincount(pairs // rows, minlength=len(values))
+
+
+def _word_counts(words: DataFrame) -> DataFrame:
+    """(term, cf, df) of single words, counted in chunks where they are read."""
+
+    def count(batches):
+        for lists in _chunks(batches, "_words", _lengths, CHUNK_WORDS):
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), _lengths(lists))
+            at, cf, df = _tally(coded.indices.to_numpy().astype(np.int64), row)
+            yield pa.RecordBatch.from_pydict({
+                "term": coded.dictionary.take(pa.array(at)), "cf": pa.array(cf, pa.int64()), "df": pa.array(df, pa.int64())})
+
+    return _added(words.mapInArrow(count, "term string, cf long, df long"), "term")
+
+
+def _added(parts: DataFrame, by: str) -> DataFrame:
+    return parts.groupBy(by).agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def _numbered(words: DataFrame, known: pa.Array) -> DataFrame:
+    """The rows' words as numbers, blocks of rows in one value."""
+
+    def number(batches):
+        for lists in _chunks(batches, "_words", _lengths, CHUNK_WORDS):
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), UNKNOWN).to_numpy()
+            ids = np.insert(found, np.cumsum(_lengths(lists)), END).astype(np.int32)
+            ends = np.flatnonzero(ids == END) + 1
+            cuts = ends[np.flatnonzero(np.diff(ends // BLOCK_WORDS, prepend=0))]
+            parts = [part.tobytes() for part in np.split(ids, cuts) if len(part)]
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(parts, pa.binary())})
+
+    return words.mapInArrow(number, "ids binary")
+
+
+def _gram_counts(blocks: DataFrame, n: int, base: int, among: np.ndarray | None = None) -> DataFrame:
+    """(code, cf, df) of n-grams of numbered words, the first number highest. ``among``: the n-grams one shorter that are looked at, sorted."""
+
+    def count(batches):
+        for held in _chunks(batches, "ids", lambda v: pc.binary_length(v).to_numpy() // 4, CHUNK_WORDS):
+            ids = np.concatenate([np.frombuffer(v.as_buffer(), np.int32) for v in held]).astype(np.int64)
+            row = np.cumsum(ids == END)
+            size = max(len(ids) - n + 1, 0)
+            code, full = np.zeros(size, np.int64), np.ones(size, bool)
+            for k in range(n):
+                code, full = code * base + ids[k: k + size], full & (ids[k: k + size] >= 0)
+            if among is not None:
+                for part in (code // base, code % base ** (n - 1)):
+                    full &= np.isin(part, among, kind="sort")
+            values, cf, df = _tally(code[full], row[:size][full])
+            yield pa.RecordBatch.from_pydict({"code": values, "cf": pa.array(cf, pa.int64()), "df": pa.array(df, pa.int64())})
+
+    return _added(blocks.mapInArrow(count, "code long, cf long, df long"), "code")
+
+
+def _spelt(counts: DataFrame, n: int, known: pa.Array) -> DataFrame:
+    """(term, cf, df) for codes of n-grams."""
+    base = len(known)
+
+    def spell(batches):
+        for batch in batches:
+            code, parts = batch.column("code").to_numpy(), []
+            for _ in range(n):
+                parts.insert(0, known.take(pa.array(code % base)))
+                code = code // base
+            term = pc.binary_join_element_wise(*parts, " ")
+            yield pa.RecordBatch.from_pydict({"term": term, "cf": batch.column("cf"), "df": batch.column("df")})
+
+    return counts.mapInArrow(spell, "term string, cf long, df long")
+
+
+def row_vocabulary(
+    df: DataFrame, text: str, n_docs, max_features: int = MAX_FEATURES, min_df: int = 1, max_df: float = MAX_DF
+) -> DataFrame:
+    """The ``vocabulary`` of rows that are a document each.
+
+    An n-gram is no more frequent than the n-grams in it. So words are counted first, and pairs only of words that are as
+    frequent as the cap asks among words; trigrams only of pairs as frequent as it asks among words and pairs. Words are
+    numbers by then. With too many such words for that, all n-grams are counted as texts.
+    """
+    allowed = _allowed(n_docs, min_df, max_df)
+    words = df.select(tokens(F.col(text)).alias("_words"))
+    counted = settle(_word_counts(words).filter(F.col("df") >= min_df))
+    edge = _edge(counted.filter(allowed), max_features)
+    counted = counted.filter(F.col("cf") >= (edge["cf"] if edge else 1))
+    if counted.count() > MAX_WORDS:
+        return vocabulary(row_term_counts(df, text), n_docs, max_features, min_df, max_df)
+    known = pa.array(counted.select("term").toArrow().column("term").to_pylist(), pa.string())
+    blocks, found, among = settle(_numbered(words, known)), counted.filter(allowed), None
+    for n in range(2, NGRAM_RANGE[1] + 1):
+        enough = (F.col("cf") >= (edge["cf"] if edge else 1)) & (F.col("df") >= min_df)
+        grams = settle(_gram_counts(blocks, n, max(len(known), 1), among).filter(enough))
+        found = settle(found.unionByName(_spelt(grams.filter(allowed), n, known)))
+        if n < NGRAM_RANGE[1]:
+            edge = _edge(found, max_features)
+            grams = grams.filter(F.col("cf") >= (edge["cf"] if edge else 1))
+            among = np.sort(grams.select("code").toArrow().column("code").to_numpy()) if grams.count() <= MAX_PAIRS else None
+    return _most_frequent(found, max_features)
+
+
 def tfidf(
     df: DataFrame, doc: str, text: str, ngram_range: tuple[int, int] = NGRAM_RANGE,
     max_features: int = MAX_FEATURES, min_df: int = 1, max_df: float = MAX_DF,
