@@ -71,6 +71,8 @@ def _sparse(df: DataFrame, features: str, *others: str) -> DataFrame:
 MEMORY = 40  # steps the descent remembers, two vectors each; with few it takes twice the passes
 CHUNK = 8192  # gradient values in a row, so that adding up is spread over tasks
 BLOCK = 1 << 16  # feature values in a stored row, or those of one row
+# rows are about a megabyte: short row groups, else a reader holds hundreds of them
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
 PARTS = {"y": np.int32, "w": np.float64, "count": np.int32, "at": np.int32, "val": np.float64}
 SAMPLE = 3000  # rows, about, whose curvature the steps are scaled by
 
@@ -275,7 +277,7 @@ def fit_classifier(
     indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(df)
     given = indexer.transform(df).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
     rows = _sparse(given.select(F.col("_y").alias("y"), F.col("_w").alias("w"), features), features, "y", "w")
-    blocks = settle(_blocks(rows))
+    blocks = settle(_blocks(rows), **ROW_GROUPS)
     total, size = blocks.agg(F.sum("total"), F.max("size")).first()
     shape = (len(indexer.labels), size + 1)
     held = np.ones(shape)

@@ -51,8 +51,8 @@ def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"trendlens-{application}-")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and go on from the files.
+def settle(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) to the shared scratch folder and go on from the files.
 
     Used where one result feeds several jobs (an iterative fit, a cut-off and
     the filter that uses it), so that lost executors cost a re-read, not a
@@ -61,7 +61,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     place = f"{_settled_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
